@@ -1,0 +1,34 @@
+"""The compile job: clean utterances to gated, deduplicated, split training records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dedup, gates, inject
+
+VERSION = "20260101.1"
+KINDS = ("noop", "filler", "repetition", "reformulation", "filler+repetition")
+ATTEMPTS = 3
+
+
+def realize(utts: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """Every attempt at a record at once, keyed by (utterance, attempt); the first that passes the gates is kept."""
+    u = utts.select("utt_id", "text", "lang", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    k = F.concat_ws(":", "utt_id", F.col("attempt").cast("string"))
+    u = u.withColumn("key", k).withColumn("kind", T.pick(F.col("utt_id"), "kind", KINDS)).withColumn("level", T.pick(F.col("utt_id"), "level", ("easy", "medium", "hard")))
+    key, t = F.col("key"), F.col("text")
+    said = F.when(F.col("kind") == "noop", t).when(F.col("kind") == "filler", inject.filler(t, key, F.col("level"))).when(F.col("kind") == "repetition", inject.repetition(t, key)).when(F.col("kind") == "reformulation", inject.reformulation(t, key)).otherwise(inject.filler(inject.repetition(t, key), key, F.col("level")))
+    kinds = F.when(F.col("kind") == "noop", F.expr("cast(array() as array<string>)")).otherwise(F.split("kind", "\\+"))
+    r = u.select("utt_id", "attempt", "lang", "level", "kind", said.alias("input"), t.alias("output"), kinds.alias("transformations"), T.seed_of(key).alias("seed"))
+    bad = gates.shape_issue(F.col("output")) | gates.length_issue(F.size(T.words(F.col("output"))), F.lit("other"), F.col("kind") == "noop") | ((F.size("transformations") > 0) & (F.col("input") == F.col("output")))
+    return r.where(~bad).groupBy("utt_id").agg(F.min_by(F.struct("lang", "level", "kind", "input", "output", "transformations", "seed", "attempt"), "attempt").alias("r")).select("utt_id", "r.*")
+
+
+def compile_records(utts: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Records with dense ids and a stratified split; none is in the hold-out, none repeats another's input and output."""
+    r = dedup.holdout_guard(realize(utts), holdout, ["output"]).dropDuplicates(["input", "output"])
+    r = dedup.dense_ids(r, "kind", ["utt_id"], "v4_")
+    s = dedup.stratified_split(r, "kind", "id").select("id", "split")
+    return r.join(s, "id").select("id", "utt_id", "kind", "level", "lang", "input", "output", "transformations", F.size("transformations").alias("num_transformations"), "seed", "split", F.lit(VERSION).alias("generator_version"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from speechloom.llm import mixing, packing, pii, quality_rules, simhash_dedup
 from speechloom.llm.queries import tokenizer_path
-from speechloom.llm.storage import written
+from speechloom.llm.storage import small_batches, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash_dedup.dedup(spark, docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(spark, docs)
 
 
@@ -30,6 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(spark, docs, tokenizer_path())
 
 

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
 import random
-import re
+import sys
+import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ LEVEL_ITEMS = 4000
 ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 2, 6, 6
 #: A thinned level keeps bins filled to this share.
 FULL = 0.9995
-#: Words whose ids a worker remembers.
+#: Words, and runs of letters, that one generation of a worker's memory holds; it keeps two.
 CACHE = 150_000
 
 Bins = list[tuple[int, ...]]
@@ -46,48 +48,102 @@ Bins = list[tuple[int, ...]]
 # --- tokens
 
 
+def kept_in_worker(name: str, make):
+    """A value that stays in the Python worker from task to task, made when it is first asked for."""
+    holder = sys.modules.setdefault("_loom_worker", types.ModuleType("_loom_worker")).__dict__
+    if name not in holder:
+        holder[name] = make()
+    return holder[name]
+
+
 class WordIds:
-    """Ids of whole texts. White space never joins tokens in this kind of tokenizer, so a text is encoded word by word from a cache."""
+    """Ids of whole texts, as bytes. White space never joins tokens in this kind of tokenizer, so a text is encoded word by word.
+
+    Words are remembered, and so are their letters without full stops and the like, which are tokens of their own. New runs of
+    letters are encoded in one text, where a token that ends a word ends one run; whatever is not so simple is encoded by itself.
+    """
+
+    TAIL = ".,;:!?"
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: more only add memory
         from tokenizers import Tokenizer
 
-        self.tok, self.seen = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = re.compile("[ \n]+").split
-        words = [[w for w in cut(t) if w] for t in texts]
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        new = list({w for ws in words for w in ws if w not in seen})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            seen.update((w, e.ids) for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True))
-        out = []
-        for t, ws in zip(texts, words, strict=True):
-            if any(s in t for s in self.special):
-                ids = self.tok.encode(t, add_special_tokens=False).ids
+        n = self.tok.get_vocab_size()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(n)])
+        self.seen: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+        self.old_seen: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        parts = (texts[i : i + 1000] for i in range(0, len(texts), 1000))
+        return [np.array(e.ids, "<u4").tobytes() for part in parts for e in self.tok.encode_batch(part, add_special_tokens=False)]
+
+    def learn_cores(self, new: list[str]) -> None:
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.cores.update((w, raw[x:y]) for w, x, y in zip(part, at[:-1], at[1:], strict=True))
             else:
-                ids = [i for w in ws for i in seen[w]]
-            out.append(np.array([*ids, END], dtype="<u4"))
-        return out
+                self.cores.update(zip(part, self.alone(part), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        simple, other = [], []
+        for w in new:
+            core = w.rstrip(self.TAIL)
+            low = core.lower()
+            if core and core.isalpha() and low.isalpha():
+                simple.append((w, low, w[len(core) :]))
+            else:
+                other.append(w)
+        unknown = {low for _, low, _ in simple} - self.cores.keys()
+        back = unknown & self.old_cores.keys()
+        self.cores.update(zip(back, map(self.old_cores.__getitem__, back), strict=True))
+        if unknown := list(unknown - back):
+            self.learn_cores(unknown)
+        if tails := [t for t in {t for _, _, t in simple} if t not in self.tails]:
+            self.tails.update(zip(tails, self.alone(tails), strict=True))
+        self.seen.update((w, self.cores[low] + self.tails[t]) for w, low, t in simple)
+        if other:
+            self.seen.update(zip(other, self.alone(other), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.seen) > CACHE:  # words still in use come back from the last generation
+            self.seen, self.old_seen = {"": b""}, self.seen
+        if len(self.cores) > CACHE:
+            self.cores, self.old_cores = {"": b""}, self.cores
+        seen = self.seen
+        if new := set().union(*words) - seen.keys():
+            back = new & self.old_seen.keys()
+            seen.update(zip(back, map(self.old_seen.__getitem__, back), strict=True))
+            if new := new - back:
+                self.learn(list(new))
+        get = seen.__getitem__
+        end = END.to_bytes(4, "little")
+        return [(self.alone([t])[0] if any(s in t for s in self.special) else b"".join(map(get, ws))) + end for t, ws in zip(texts, words, strict=True)]
 
 
 def tokenize(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = kept_in_worker(path, lambda: WordIds(path))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows: list[tuple] = []
                 for d, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    for k, a in enumerate(range(0, len(ids), limit)):
-                        part = ids[a : a + limit]
-                        rows.append((d, k, a, len(part), zlib.crc32(part.tobytes())))
+                    for k, a in enumerate(range(0, len(ids), 4 * limit)):
+                        part = ids[a : a + 4 * limit]
+                        rows.append((d, k, a // 4, len(part) // 4, zlib.crc32(part)))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return ctx._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts are kept to so many rows: their size in memory follows it in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Table:
     """A DataFrame written as Parquet and read back; ``drop`` removes the files."""
 

@@ -56,7 +56,7 @@ def position(u: Column, knots: Column) -> Column:
         # within a piece from weight a to b: a s + (b - a) s^2 / 2 = rest * n, solved for s in [0, 1]
         a, b, rest = F.get(knots, i), F.get(knots, i + 1), u * whole - acc["done"]
         root = F.sqrt(F.greatest(F.lit(0.0), a * a + 2.0 * (b - a) * rest * n))
-        s = 2.0 * rest * n / (a + root)
+        s = F.try_divide(2.0 * rest * n, a + root)
         here = acc["t"].isNull() & ((rest <= area(i)) | (i == n - 1))
         t = F.when(here, (i + F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(s, F.lit(0.0))))) / n).otherwise(acc["t"])
         return F.struct(t.alias("t"), (acc["done"] + area(i)).alias("done"))
@@ -95,13 +95,13 @@ def placed(spark: SparkSession, docs: DataFrame, keep: Column | None = None, cur
 
 def first_position(d: DataFrame) -> DataFrame:
     """With the training position of each document's first reading; null if it is never read."""
-    return d.withColumn("position", F.when(F.col("taken") > 0, position(F.col("first") / F.col("target"), F.col("knots"))))
+    return d.withColumn("position", F.when(F.col("taken") > 0, position(F.try_divide("first", "target"), F.col("knots"))))
 
 
 def mix_sizes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source, position; in the order of training, unread ones last."""
     d = first_position(placed(spark, docs))
-    rest = 1.0 + F.coalesce(F.col("first") / F.col("source_size"), F.lit(0.0))
+    rest = 1.0 + F.coalesce(F.try_divide("first", "source_size"), F.lit(0.0))
     return d.orderBy(F.coalesce("position", rest)).select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
@@ -112,7 +112,7 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     d = placed(spark, docs, keep=F.struct(*[docs[c] for c in docs.columns]))
     d = d.withColumn("read", F.explode(F.filter(F.transform("parts", lambda n, k: F.struct(n.alias("n"), k.alias("k"))), lambda x: x["n"] > 0)))
-    at = (F.col("first") + F.col("read.k") * F.col("source_size")) / F.col("target")
+    at = F.try_divide(F.col("first") + F.col("read.k") * F.col("source_size"), F.col("target"))
     d = d.withColumn("position", position(at, F.col("knots"))).orderBy("position")
     # the prefix of n words: a possessive loop runs without recursion, whatever n is
     cut = F.call_function("regexp_extract", F.col("keep.text"), F.concat(F.lit("\\A(?:[ \\t-\\r]*+[^ \\t-\\r]++){"), F.col("read.n").cast("string"), F.lit("}+")), F.lit(0))

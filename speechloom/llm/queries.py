@@ -76,4 +76,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_passages, op4_quality_rules, op5_embedding_dedup, op6_toxicity, op7_resample, op8_language_id, op9_simhash, op10_pii, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t-\\r]+'), lambda x: x <> '')"
+_TIGHT = "regexp_replace({t}, '[ \\t-\\r]+', '', 'g')"
+_GONE = "length({t}) - length(translate({t}, '{c}', ''))"
+_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in quality_rules.BOILERPLATE)
+_FAILS = (
+    f"({_PHRASES} OR contains(x, '©') OR ({_GONE.format(t='x', c='|»›•')} >= 2 AND ({_GONE.format(t='x', c='|»›•')}) * 4 >= len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')}))"
+    f" OR (length({_TIGHT.format(t='x')}) >= 10 AND ({_GONE.format(t='x', c='#*$%&|<>')}) * 10 > length({_TIGHT.format(t='x')}))"
+    f" OR (len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')}) >= 5 AND {_GONE.format(t='x', c='!')} >= len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')})))"
+)
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": (
+        f"WITH d AS (SELECT doc_id, text, {_WORDS.format(t='text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),"
+        " win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)), dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),"
+        " cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),"
+        f" c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_GONE.format(t='text', c='#*$%&|<>')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,"
+        f" coalesce(list_sum(list_transform(list_filter(ls, lambda x: regexp_matches(x, '\\pL') AND NOT {_FAILS}), lambda x: length({_TIGHT.format(t='x')}))), 0) AS remaining FROM d LEFT JOIN cov USING (doc_id)),"
+        f" b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)"
+        f" SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND remaining >= {quality_rules.MIN_KEPT_SHARE} * word_chars AS kept FROM b"
+    ),
+    "op5_embedding_dedup": (
+        "WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),"
+        f" l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.MIN_COSINE}),"
+        " reach AS (SELECT vec_id AS v, vec_id AS r FROM v UNION SELECT reach.v, l.b FROM reach JOIN l ON reach.r = l.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)"
+        " SELECT vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM v JOIN reach ON v.vec_id = reach.v LEFT JOIN n ON n.a = vec_id GROUP BY vec_id"
+    ),
+}

@@ -453,3 +453,16 @@ def test_pipeline(spark):
     first = quality_rules.judge(docs(spark)).where("kept").count()
     assert P.STAGES[0][1](spark, docs(spark), SF).count() == first
     assert {"doc_id", "sequence_id", "offset"} <= set(P.run(spark, SF).columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))

@@ -9,13 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Fillers, phrases that models put around an answer, self-correction markers.
-FILLERS = ("um", "uh", "er", "ah", "hmm", "like", "you know", "i mean", "i think", "i guess", "sort of", "kind of", "basically", "actually", "literally", "well", "so", "okay", "right")
-ARTIFACTS = ("here is ", "here's ", "sure, ", "certainly", "the cleaned", "cleaned text", "output:", "as an ai", "i hope this helps", "let me know")
-MARKERS = ("no wait", "sorry", "I mean", "actually", "make that", "rather", "scratch that", "correction", "not", "or rather", "oops")
-#: The instruction that precedes every training pair.
-INSTRUCTION = "Rewrite the dictated text as the speaker meant it. Keep every fact; remove fillers, repetitions and corrected words."
-
+from .constants import ARTIFACTS, FILLERS, INSTRUCTION
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: an expression inside a lambda is otherwise computed for every element."""
@@ -95,8 +89,8 @@ def _duplications(w: Column) -> Column:
 
 
 def filler_count(t: Column) -> Column:
-    """Fillers in lower-cased text, longer ones first."""
-    bank = "|".join(sorted(FILLERS, key=len, reverse=True))
+    """Fillers in lower-cased text, longer ones first; the list is lower-cased too, so that those with a capital count."""
+    bank = "|".join(sorted(map(str.lower, FILLERS), key=len, reverse=True))
     return F.regexp_count(F.lower(t), F.lit(f"\\b(?:{bank})\\b"))
 
 

@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-FILLERS = ("um", "uh", "er", "you know", "i mean", "like")
-HEDGES = ("let me think", "hold on", "where was I")
-MARKERS = ("no wait", "sorry", "I mean", "make that", "scratch that")
-
+from ..functions.constants import DISTRACT_MARKERS, DISTRACTORS, FILLERS, HEDGES, MARKERS_EASY, MARKERS_HARD, MARKERS_MEDIUM, RESTARTS
 
 def _n(level: Column, easy: int, medium: int, hard: int) -> Column:
     return F.when(level == "easy", easy).when(level == "medium", medium).otherwise(hard)
@@ -36,18 +32,27 @@ def repetition(text: Column, key: Column) -> Column:
     return F.array_join(F.concat(F.slice(w, 1, at + k), F.slice(w, at + 1, k), F.slice(w, at + k + 1, F.size(w))), " ")
 
 
-def correction(text: Column, start: Column, end: Column, abandoned: Column, key: Column) -> Column:
-    """The span said wrong first, a marker, then right."""
+def rendered(wrong: Column, right: Column, marker: Column) -> Column:
+    """A correction as it is said with its marker."""
+    said = F.when(marker == "no wait", F.concat(wrong, F.lit(" no wait "), right)).when(marker == "not", F.concat(F.lit("not "), wrong, F.lit(", "), right))
+    said = said.when(marker.isin("make that", "change that to", "rather", "I meant"), F.concat(wrong, F.lit(", "), marker, F.lit(" "), right))
+    return said.otherwise(F.concat(wrong, F.lit(", "), marker, F.lit(", "), right))
+
+
+def correction(text: Column, start: Column, end: Column, abandoned: Column, key: Column, level: Column) -> Column:
+    """The span said wrong first, then right; ``not`` and ``I meant`` do not open a text."""
+    pick = F.when(level == "easy", T.pick(key, "corr.marker", MARKERS_EASY)).when(level == "medium", T.pick(key, "corr.marker", MARKERS_MEDIUM)).otherwise(T.pick(key, "corr.marker", MARKERS_HARD))
+    marker = F.when((start == 0) & pick.isin("not", "I meant"), "no wait").otherwise(pick)
     kept = F.substr(text, start + 1, end - start)
-    return F.concat(F.substr(text, F.lit(1), start), abandoned, F.lit(", "), T.pick(key, "corr.marker", MARKERS), F.lit(", "), kept, F.substr(text, end + 1))
+    return F.concat(F.substr(text, F.lit(1), start), rendered(abandoned, kept, marker), F.substr(text, end + 1))
 
 
 def reformulation(text: Column, key: Column) -> Column:
-    """60 in 100 a restart after one to three words, else a hedge before the text."""
+    """60 in 100 a restart after one to four words, else a hedge, a distractor and a marker before the text."""
     w = T.words(text)
-    n = (F.pmod(T.draw(key, "ref.n"), F.least(F.lit(3), F.greatest(F.lit(1), F.size(w) - 2))) + 1).cast("int")
-    restart = F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(", "), T.pick(key, "ref.marker", MARKERS), F.lit(", "), T.lower_first(text))
-    hedge = F.concat(T.upper_first(T.pick(key, "ref.hedge", HEDGES)), F.lit(", "), T.lower_first(text))
+    n = (F.pmod(T.draw(key, "ref.n"), F.greatest(F.lit(1), F.least(F.lit(4), F.size(w) - 2))) + 1).cast("int")
+    restart = F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(", "), T.pick(key, "ref.marker", RESTARTS), F.lit(", "), T.lower_first(text))
+    hedge = F.concat(T.upper_first(T.pick(key, "ref.hedge", HEDGES)), F.lit(" "), T.pick(key, "ref.distractor", DISTRACTORS), F.lit(", "), T.pick(key, "ref.turn", DISTRACT_MARKERS), F.lit(", "), T.lower_first(text))
     return F.when(T.uniform(key, "ref.mode") < 0.6, restart).otherwise(hedge)
 
 

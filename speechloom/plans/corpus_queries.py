@@ -197,7 +197,7 @@ def q_overfit_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.overfit(h, "day", "v").select("evals", F.round("peak", 6).alias("peak"), F.round("last", 6).alias("last"), "overfit")
 
 
-@query(f"WITH {SQL['turns']} SELECT conv_id, turn, md5('<|im_start|>system' || chr(10) || '{T.INSTRUCTION}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || input || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || output || '<|im_end|>') AS chat FROM turns")
+@query(f"WITH {SQL['turns']} SELECT conv_id, turn, md5('<|im_start|>system' || chr(10) || '{T.INSTRUCTION.replace(chr(39), chr(39) * 2)}' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || input || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || output || '<|im_end|>') AS chat FROM turns")
 def q_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", F.md5(T.chat(F.col("input"), F.col("output"))).alias("chat"))
 

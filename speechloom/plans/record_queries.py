@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.constants import DISTRACT_MARKERS, DISTRACTORS, FILLERS, HEDGES, LABELS, MARKERS_EASY, MARKERS_HARD, MARKERS_MEDIUM, RESTARTS, TRANSFORMS
 from ..operators import entities as E
 from ..operators import gates, inject
 from ..registry import query
@@ -19,7 +20,8 @@ _MD = "len(list_filter(string_split({t}, chr(10)), lambda x: regexp_matches(x, '
 
 
 def _pick(site: str, values: tuple) -> str:
-    return f"[{', '.join(repr(v) for v in values)}][1 + {_D.format(s=site)} % {len(values)}]"
+    items = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"[{items}][1 + {_D.format(s=site)} % {len(values)}]"
 
 
 @query(f"WITH {SQL['turns']} SELECT conv_id, turn, len({_W.format(t='input')}) < 3 OR input <> trim(input) OR regexp_matches(input, '^[a-z]') AS bad_input, len({_W.format(t='output')}) < 3 OR output <> trim(output) OR regexp_matches(output, '^[a-z]') AS bad_output FROM turns")
@@ -37,13 +39,13 @@ _STRUCT = f"{SQL['preds']}, r AS (SELECT *, CASE WHEN {_D.format(s='n')} % 7 = 0
 
 
 @query(
-    f"WITH {_STRUCT} SELECT utt_id, array_to_string(list_filter([CASE WHEN category NOT IN {CATEGORIES!r} THEN 'category' END, CASE WHEN n <> 1 THEN 'count' END, CASE WHEN category NOT IN ('filler', 'repetition', 'self_correction', 'reformulation', 'formatting') THEN 'transform' END,"
+    f"WITH {_STRUCT} SELECT utt_id, array_to_string(list_filter([CASE WHEN category NOT IN {CATEGORIES!r} THEN 'category' END, CASE WHEN n <> 1 THEN 'count' END, CASE WHEN category NOT IN {TRANSFORMS!r} THEN 'transform' END,"
     f" CASE WHEN (category = 'mixed') <> (kombo IS NOT NULL) THEN 'combo' END, CASE WHEN kombo IS NOT NULL AND kombo NOT IN {COMBOS!r} THEN 'unknown_combo' END], lambda x: x IS NOT NULL), ',') AS issues FROM r"
 )
 def q_gate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("utt_id")
     r = predictions(spark, sf_dir).withColumn("n", F.when(F.pmod(T.draw(k, "n"), F.lit(7)) == 0, 2).otherwise(1)).withColumn("kombo", F.when(F.pmod(T.draw(k, "c"), F.lit(9)) == 0, "filler+long").otherwise(F.col("combo")))
-    issues = gates.structure_issues(F.col("category"), F.array("category"), F.col("n"), F.col("kombo"), CATEGORIES, ("filler", "repetition", "self_correction", "reformulation", "formatting"), COMBOS)
+    issues = gates.structure_issues(F.col("category"), F.array("category"), F.col("n"), F.col("kombo"), CATEGORIES, TRANSFORMS, COMBOS)
     return r.select("utt_id", F.array_join(issues, ",").alias("issues"))
 
 
@@ -111,7 +113,7 @@ def q_plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILL = (
     f"f AS (SELECT utt_id, {_pick('level', ('easy', 'medium', 'hard', 'extreme'))} AS level, {_W.format(t='text')} AS w FROM utt), o AS (SELECT *, list_transform(list_sort([{{'h': md5('42:' || utt_id || ':gap:' || i), 'i': i}} for i in range(1, len(w))]), lambda x: x.i)"
     "[1:CASE level WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END] AS gaps FROM f),"
-    f" noisy AS (SELECT utt_id, array_to_string([CASE WHEN list_contains(gaps, i) THEN w[i] || ', ' || {list(inject.FILLERS)!r}[1 + ('0x' || substr(md5('42:' || utt_id || ':filler:' || i), 1, 8))::BIGINT % {len(inject.FILLERS)}] || ',' ELSE w[i] END for i in range(1, len(w) + 1)], ' ') AS noisy FROM o)"
+    f" noisy AS (SELECT utt_id, array_to_string([CASE WHEN list_contains(gaps, i) THEN w[i] || ', ' || {list(FILLERS)!r}[1 + ('0x' || substr(md5('42:' || utt_id || ':filler:' || i), 1, 8))::BIGINT % {len(FILLERS)}] || ',' ELSE w[i] END for i in range(1, len(w) + 1)], ' ') AS noisy FROM o)"
 )
 
 
@@ -121,12 +123,14 @@ def q_inject_filler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(spark, sf_dir).select("utt_id", inject.filler(F.col("text"), k, T.pick(k, "level", ("easy", "medium", "hard", "extreme"))).alias("noisy"))
 
 
-@query(f"WITH {SQL['utt']}, {_FILL} SELECT utt_id, len(regexp_extract_all(' ' || regexp_replace(noisy, '[^a-z ]', ' ', 'g') || ' ', ' (um|uh|er|you know|i mean|like)  '))::BIGINT AS n FROM noisy WHERE NOT regexp_matches(noisy, '[^\\x00-\\x7F]')")
+_BANK = "|".join(sorted(map(str.lower, FILLERS), key=len, reverse=True))
+
+
+@query(f"WITH {SQL['utt']}, {_FILL} SELECT utt_id, len(regexp_extract_all(lower(noisy), '\\b(?:{_BANK})\\b'))::BIGINT AS n FROM noisy WHERE NOT regexp_matches(noisy, '[^\\x00-\\x7F]')")
 def q_filler_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fillers set off by commas in noisy ASCII text."""
+    """Fillers in noisy text (ASCII, where word bounds agree)."""
     n = q_inject_filler(spark, sf_dir).where("noisy not rlike '[^\\\\x00-\\\\x7F]'")
-    t = F.concat(F.lit(" "), F.regexp_replace("noisy", "[^a-z ]", " "), F.lit(" "))
-    return n.select("utt_id", F.regexp_count(t, F.lit(" (um|uh|er|you know|i mean|like)  ")).cast("long").alias("n"))
+    return n.select("utt_id", T.filler_count(F.col("noisy")).cast("long").alias("n"))
 
 
 @query(
@@ -137,15 +141,25 @@ def q_inject_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(spark, sf_dir).select("utt_id", inject.repetition(F.col("text"), F.col("utt_id")).alias("noisy"))
 
 
-@query(f"WITH {SQL['utt']}, c AS (SELECT utt_id, text, length(split_part(text, ' ', 1)) AS e FROM utt) SELECT utt_id, 'Thing, ' || {_pick('corr.marker', inject.MARKERS)} || ', ' || text AS noisy FROM c")
+_LEVEL = _pick("level", ("easy", "medium", "hard", "extreme"))
+_MARKER = f"CASE {_LEVEL} WHEN 'easy' THEN {_pick('corr.marker', MARKERS_EASY)} WHEN 'medium' THEN {_pick('corr.marker', MARKERS_MEDIUM)} ELSE {_pick('corr.marker', MARKERS_HARD)} END"
+
+
+@query(
+    f"WITH {SQL['utt']}, c AS (SELECT utt_id, split_part(text, ' ', 1) AS kept, substr(text, length(split_part(text, ' ', 1)) + 1) AS rest, {_MARKER} AS drawn FROM utt), m AS (SELECT *, CASE WHEN drawn IN ('not', 'I meant') THEN 'no wait' ELSE drawn END AS marker FROM c)"
+    " SELECT utt_id, CASE WHEN marker = 'no wait' THEN 'Thing no wait ' || kept WHEN marker IN ('make that', 'change that to', 'rather', 'I meant') THEN 'Thing, ' || marker || ' ' || kept ELSE 'Thing, ' || marker || ', ' || kept END || rest AS noisy FROM m"
+)
 def q_inject_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.length(F.substring_index("text", " ", 1))
-    return utterances(spark, sf_dir).select("utt_id", inject.correction(F.col("text"), F.lit(0), first, F.lit("Thing"), F.col("utt_id")).alias("noisy"))
+    """The first word of every utterance said wrong first."""
+    k, first = F.col("utt_id"), F.length(F.substring_index("text", " ", 1))
+    noisy = inject.correction(F.col("text"), F.lit(0), first, F.lit("Thing"), k, T.pick(k, "level", ("easy", "medium", "hard", "extreme")))
+    return utterances(spark, sf_dir).select("utt_id", noisy.alias("noisy"))
 
 
 @query(
-    f"WITH {SQL['utt']}, r AS (SELECT utt_id, text, lower(text[1]) || text[2:] AS low, {_W.format(t='text')} AS w, {_pick('ref.hedge', inject.HEDGES)} AS hedge FROM utt), n AS (SELECT *, {_D.format(s='ref.n')} % least(3, greatest(1, len(w) - 2)) + 1 AS n FROM r)"
-    f" SELECT utt_id, CASE WHEN {_D.format(s='ref.mode')} / pow(2, 60) < 0.6 THEN array_to_string(w[1:n], ' ') || ', ' || {_pick('ref.marker', inject.MARKERS)} || ', ' || low ELSE upper(hedge[1]) || hedge[2:] || ', ' || low END AS noisy FROM n"
+    f"WITH {SQL['utt']}, r AS (SELECT utt_id, lower(text[1]) || text[2:] AS low, {_W.format(t='text')} AS w, {_pick('ref.hedge', HEDGES)} AS hedge FROM utt), n AS (SELECT *, {_D.format(s='ref.n')} % greatest(1, least(4, len(w) - 2)) + 1 AS n FROM r)"
+    f" SELECT utt_id, CASE WHEN {_D.format(s='ref.mode')} / pow(2, 60) < 0.6 THEN array_to_string(w[1:n], ' ') || ', ' || {_pick('ref.marker', RESTARTS)} || ', ' || low"
+    f" ELSE upper(hedge[1]) || hedge[2:] || ' ' || {_pick('ref.distractor', DISTRACTORS)} || ', ' || {_pick('ref.turn', DISTRACT_MARKERS)} || ', ' || low END AS noisy FROM n"
 )
 def q_inject_reformulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return utterances(spark, sf_dir).select("utt_id", inject.reformulation(F.col("text"), F.col("utt_id")).alias("noisy"))
@@ -198,17 +212,14 @@ def q_nearest_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", E.nearest(F.col("e"), F.col("a")).alias("n")).select("id", "n.missing", "n.found", "n.distance")
 
 
-_LABELS = (("filler", "filler"), ("filler+repetition", "filler+rep"), ("self_correction", "multi-corr"), ("filler+self_correction", "filler+corr"), ("repetition", "repetition"))
-
-
 @query(
     f"WITH {SQL['utt']}, r AS (SELECT utt_id, array_to_string(list_sort(list_distinct([{_pick('t1', ('filler', 'repetition', 'self_correction'))}, {_pick('t2', ('filler', 'repetition', 'self_correction'))}])), '+') AS types FROM utt)"
-    f" SELECT utt_id, types, coalesce(label, 'unknown:' || types) AS label FROM r LEFT JOIN (VALUES {', '.join(map(repr, _LABELS))}) l(types, label) USING (types)"
+    f" SELECT utt_id, types, coalesce(label, 'unknown:' || types) AS label FROM r LEFT JOIN (VALUES {', '.join(map(repr, LABELS))}) l(types, label) USING (types)"
 )
 def q_recipe_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kinds = F.col("utt_id"), ("filler", "repetition", "self_correction")
     r = utterances(spark, sf_dir).select("utt_id", F.array_join(F.array_sort(F.array_distinct(F.array(T.pick(k, "t1", kinds), T.pick(k, "t2", kinds)))), "+").alias("types"))
-    labels = F.broadcast(spark.createDataFrame(_LABELS, "types string, label string"))  # a row for each label
+    labels = F.broadcast(spark.createDataFrame(LABELS, "types string, label string"))  # a row for each label
     return r.join(labels, "types", "left").select("utt_id", "types", F.coalesce("label", F.concat(F.lit("unknown:"), F.col("types"))).alias("label"))
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.constants import CATEGORIES, COMBOS
 
-CATEGORIES = ("clean", "filler", "repetition", "self_correction", "reformulation", "formatting", "long", "mixed")
-COMBOS = ("filler+corr", "filler+rep", "filler+rep+corr", "rep+corr")
 LEVELS = ("easy", "medium", "hard", "extreme")
 
 

@@ -98,12 +98,12 @@ class WordIds:
         simple, other = [], []
         for w in new:
             core = w.rstrip(self.TAIL)
-            low = core.lower()
-            if core and core.isalpha() and low.isalpha():
+            low = core.lower() if core.isascii() else core  # a final sigma is lower-cased by the tokenizer in its own way
+            if core and core.isalpha() and core.lower().isalpha():
                 simple.append((w, low, w[len(core) :]))
             else:
                 other.append(w)
-        unknown = {low for _, low, _ in simple} - self.cores.keys()
+        unknown = {low for _, low, _ in simple if low not in self.cores}
         back = unknown & self.old_cores.keys()
         self.cores.update(zip(back, map(self.old_cores.__getitem__, back), strict=True))
         if unknown := list(unknown - back):
@@ -121,7 +121,7 @@ class WordIds:
         if len(self.cores) > CACHE:
             self.cores, self.old_cores = {"": b""}, self.cores
         seen = self.seen
-        if new := set().union(*words) - seen.keys():
+        if new := {w for ws in words for w in ws if w not in seen}:
             back = new & self.old_seen.keys()
             seen.update(zip(back, map(self.old_seen.__getitem__, back), strict=True))
             if new := new - back:

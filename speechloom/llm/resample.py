@@ -38,7 +38,7 @@ class Hasher:
         seen = self.seen
         if len(seen) > CACHE:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in [w for w in set(words) if w not in seen]:  # a difference with a view would go through all that is remembered
             seen[w] = xxhash.xxh64_intdigest(w) & 0x7FFFFFFF
         h = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
         pairs = (h[:-1] * 1_000_003 + h[1:] * 7_919) >> 7
@@ -96,7 +96,7 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: flo
     """doc_id, log_weight, key, selected of every document."""
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("quality").cast("int")).alias("label"))
-    joined = d.join(marks, "id", "left")
+    joined = d.join(marks.hint("merge"), "id", "left")  # labels grow with the corpus: never broadcast
     ratio = spark.sparkContext.broadcast(log_ratio(spark, joined))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

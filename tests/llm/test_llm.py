@@ -151,7 +151,7 @@ def test_packing_plan_covers_any_histogram(spark):
 
 def test_words_are_encoded_as_whole_texts():
     enc = packing.WordIds(queries.tokenizer_path())
-    texts = ["", "a  b\tc\n", "I'm 12.5% the’s İstanbul ΑΣ <|endoftext|> fooé.,", "can't ''s a's. b'", "\x85x\xa0y ź"]
+    texts = ["", "a  b\tc\n", "I'm 12.5% the’s İstanbul ΑΣ <|endoftext|> fooé.,", "can't ''s a's. b'", "\x85x\xa0y ź", "ΑΣ ΟΔΟΣ. Ärger İ", "e\u0301te\u0301 ﬁn"]
     assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tokens(t).tolist() for t in texts]
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -24,7 +25,7 @@ def rows(d: pd.DataFrame) -> list:
     def text(x):
         if pd.isna(x):
             return ""
-        return f"{float(x):.6f}" if isinstance(x, (int, float)) or getattr(getattr(x, "dtype", None), "kind", "") in "iufb" else str(x)
+        return f"{float(x):.6f}" if isinstance(x, (int, float, np.number, np.bool_)) else str(x)
 
     return sorted(tuple(map(text, r)) for r in d[sorted(d.columns)].itertuples(index=False))
 

@@ -18,6 +18,7 @@ import bisect
 import math
 import os
 import random
+import re
 import sys
 import types
 import zlib
@@ -42,6 +43,14 @@ FULL = 0.9995
 #: Words, and runs of letters, that one generation of a worker's memory holds; it keeps two.
 CACHE = 150_000
 
+#: Marks in a batch of texts: a word that is encoded elsewhere, and the end of a text.
+HOLE, TEXT_END = "\x01", "\x02"
+#: Letters and signs of plain words, which are whole under every Unicode normal form that composes.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿœŒ", r"!-&(-/:-@\[-_{-~"
+SIGN_RUN = re.compile(f"[{SIGNS}]+")
+#: Words between spaces and line feeds that are not plain; very long ones are among them.
+NOT_PLAIN = re.compile(rf"(?<![^ \n])(?![{LETTERS}{SIGNS}]{{1,200}}+(?![^ \n])|\x02(?![^ \n]))([^ \n]+)")
+
 Bins = list[tuple[int, ...]]
 
 
@@ -59,7 +68,8 @@ def kept_in_worker(name: str, make):
 class WordIds:
     """Ids of whole texts, as bytes. White space never joins tokens in this kind of tokenizer, so a text is encoded word by word.
 
-    Words are remembered, and so are their letters without full stops and the like, which are tokens of their own. New runs of
+    Words of Latin letters and signs go through one byte-pair encoder together (``plain_encoder``).
+    Other words are remembered, and so are their letters without full stops and the like, which are tokens of their own. New runs of
     letters are encoded in one text, where a token that ends a word ends one run; whatever is not so simple is encoded by itself.
     """
 
@@ -78,6 +88,7 @@ class WordIds:
         self.old_seen: dict[str, bytes] = {}
         self.old_cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        self.plain = self.plain_encoder()
 
     def alone(self, texts: list[str]) -> list[bytes]:
         parts = (texts[i : i + 1000] for i in range(0, len(texts), 1000))
@@ -114,21 +125,75 @@ class WordIds:
         if other:
             self.seen.update(zip(other, self.alone(other), strict=True))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+    def other(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the memory, or by the tokenizer."""
         if len(self.seen) > CACHE:  # words still in use come back from the last generation
             self.seen, self.old_seen = {"": b""}, self.seen
         if len(self.cores) > CACHE:
             self.cores, self.old_cores = {"": b""}, self.cores
         seen = self.seen
-        if new := {w for ws in words for w in ws if w not in seen}:
+        if new := {w for w in words if w not in seen}:
             back = new & self.old_seen.keys()
             seen.update(zip(back, map(self.old_seen.__getitem__, back), strict=True))
             if new := new - back:
                 self.learn(list(new))
-        get = seen.__getitem__
+        return list(map(seen.__getitem__, words))
+
+    def plain_encoder(self):
+        """A byte-pair encoder of runs of letters and of signs, where a space ends a run, or None if it and the tokenizer differ on samples.
+
+        Ids rise with the order of merges, and a byte with its run's end comes before all merges, so ids serve as ranks.
+        """
+        import tiktoken
+
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that a vocabulary shows as themselves
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        ranks = {}
+        for t, i in self.tok.get_vocab().items():
+            run = t.removesuffix("</w>")
+            if t not in self.special and all(c in byte for c in run):
+                ranks[bytes(byte[c] for c in run) + b" " * t.endswith("</w>")] = i
+        top = self.tok.get_vocab_size()
+        ranks |= {HOLE.encode() + b" ": top, TEXT_END.encode() + b" ": top + 1}
+        if not all(bytes([b, *end]) in ranks for b in range(256) for end in (b"", b" ") if end == b"" or b > 2):
+            return None
+        made = tiktoken.Encoding("plain", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        rng, held = random.Random(1), sorted(t for t in (x.decode("utf-8", "ignore").strip() for x in ranks) if t)
+        runs = [[t for t in held if re.fullmatch(f"[{c}]+", t) and t == t.lower()] for c in (LETTERS, SIGNS)]
+        sample = " ".join(rng.choice(r) + rng.choice(r) for _ in range(4000) for r in runs) + " "
+        return made if made.encode_ordinary(sample) == self.tok.encode(sample, add_special_tokens=False).ids else None
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         end = END.to_bytes(4, "little")
-        return [(self.alone([t])[0] if any(s in t for s in self.special) else b"".join(map(get, ws))) + end for t, ws in zip(texts, words, strict=True)]
+        if self.plain is None:
+            return [b"".join(self.other(t.replace("\n", " ").split(" "))) + end if not self.odd(t) else self.alone([t])[0] + end for t in texts]
+        odd = {i: self.alone([t])[0] + end for i, t in enumerate(texts) if self.odd(t)}
+        parts = NOT_PLAIN.split("".join(f" {TEXT_END} " if i in odd else f"{t} {TEXT_END} " for i, t in enumerate(texts)))
+        text = SIGN_RUN.sub(r" \g<0> ", HOLE.join(parts[::2]).lower())
+        ids = self.plain.encode_to_numpy(" ".join(text.split()) + " ").astype("<u4")
+        holes = np.flatnonzero(ids == self.tok.get_vocab_size())
+        ends = np.flatnonzero(ids == self.tok.get_vocab_size() + 1)
+        ids[ends] = END
+        ends = ends + 1
+        if len(holes):
+            filled = self.other(parts[1::2])
+            size = np.ones(len(ids), np.int64)
+            size[holes] = np.fromiter(map(len, filled), np.int64, len(filled)) // 4
+            after = np.cumsum(size)
+            ends = after[ends - 1]
+            is_hole = np.zeros(len(ids), bool)
+            is_hole[holes] = True
+            of_hole = np.repeat(is_hole, size)
+            out = np.empty(len(of_hole), "<u4")
+            out[~of_hole] = ids[~is_hole]
+            out[of_hole] = np.frombuffer(b"".join(filled), "<u4")
+            ids = out
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [odd.get(i) or raw[x:y] for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))]
+
+    def odd(self, text: str) -> bool:
+        """Texts that hold a special token's string or the mark of a text's end are encoded as they are."""
+        return TEXT_END in text or any(s in text for s in self.special)
 
 
 def tokenize(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -152,6 +152,10 @@ def test_packing_plan_covers_any_histogram(spark):
 def test_words_are_encoded_as_whole_texts():
     enc = packing.WordIds(queries.tokenizer_path())
     texts = ["", "a  b\tc\n", "I'm 12.5% the’s İstanbul ΑΣ <|endoftext|> fooé.,", "can't ''s a's. b'", "\x85x\xa0y ź", "ΑΣ ΟΔΟΣ. Ärger İ", "e\u0301te\u0301 ﬁn"]
+    texts += ["a.b,c!! éÉ###ß ÿ-œ. x_y (z) [q]", "\x01 a \x02 b", "w" * 500 + " ok", "a\x1cb c\u2028d", "<|startoftext|>x", "end\x02"]
+    rng = random.Random(12)
+    texts += ["".join(rng.choice("abcdeAÉéß .,'#-1\n\x02İΣ|<>°") for _ in range(rng.randrange(80))) for _ in range(400)]
+    assert enc.plain is not None
     assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tokens(t).tolist() for t in texts]
 
 

@@ -68,6 +68,7 @@ def position(u: Column, knots: Column) -> Column:
 def placed(spark: SparkSession, docs: DataFrame, keep: Column | None = None, curriculum: tuple = CURRICULUM) -> DataFrame:
     """Every document with its place: doc_id, source, size, source_size, target, first (words before it in its source), taken, knots; and keep."""
     src = F.struct(F.col("source").isNull().alias("is_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
+    src = src.cast("struct<is_null:boolean,name:string>")  # as it is read back: with another nullability the window would shuffle the texts anew after the join
     key = F.xxhash64("doc_id", "size")
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"), *([keep.alias("keep")] if keep is not None else []))
     d = d.withColumn("src", src).withColumn("key", key).withColumn("b1", F.col("key").bitwiseAND(255)).withColumn("b2", F.shiftright("key", 8).bitwiseAND(255))
@@ -82,7 +83,7 @@ def placed(spark: SparkSession, docs: DataFrame, keep: Column | None = None, cur
     l1 = l1.withColumn("o1", before("s1", "src", "b1")).join(whole, "src").drop("s1")
     l2 = l2.withColumn("o2", before("s", "src", "b1", "b2")).join(l1, ["src", "b1"])
     l2 = l2.select("src", "b1", "b2", (F.col("o1") + F.col("o2")).alias("o"), "source_size", "rank", "target")
-    d = d.join(l2, ["src", "b1", "b2"])
+    d = d.join(l2.hint("merge"), ["src", "b1", "b2"])  # sums grow with the sources: the same plan at every size
     inside = W.partitionBy("src", "b1", "b2").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("first", F.col("o") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     goal = F.round("target").cast("long")

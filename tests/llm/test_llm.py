@@ -190,6 +190,18 @@ def test_many_holders_of_one_passage(spark):
     assert all(r.n_passages == 1 and r.component_id == 0 for r in got)
 
 
+def test_passage_of_two_frequent_lines(spark):
+    """Few texts hold both lines in a row, many hold one of them; one line is also repeated inside a text."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("uvwxyzabcd") for _ in range(6))
+    one, two = [word() for _ in range(30)], [word() for _ in range(30)]
+    mid = {i: one if i % 2 else two for i in range(600)} | {i: one + two for i in (101, 300, 477)} | {600: [w for _ in range(40) for w in (*one, word())]}
+    d = spark.createDataFrame([(i, " ".join([*(word() for _ in range(12)), *m, *(word() for _ in range(12))])) for i, m in mid.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.find(spark, d.repartition(5)).collect()}
+    assert {k for k, r in got.items() if r.n_passages} == {101, 300, 477}
+    assert {got[k].component_id for k in (101, 300, 477)} == {101} and all(58 <= got[k].passage_words <= 62 for k in (101, 300, 477))
+
+
 # --- 4
 
 

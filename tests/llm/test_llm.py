@@ -202,6 +202,31 @@ def test_passage_of_two_frequent_lines(spark):
     assert {got[k].component_id for k in (101, 300, 477)} == {101} and all(58 <= got[k].passage_words <= 62 for k in (101, 300, 477))
 
 
+def test_second_passage_of_the_same_texts(spark):
+    """A header and a footer on one diagonal with other words between; a header too short to report before a passage."""
+    rng = random.Random(15)
+    words = lambda n: ["".join(rng.choice("efghijklmn") for _ in range(6)) for _ in range(n)]
+    head, foot, short, late = words(60), words(55), words(30), words(52)
+    rows = [(i, " ".join([*head, *words(100), *foot])) for i in (1, 2)] + [(i, " ".join([*short, *words(60), *late])) for i in (3, 4)]
+    got = {r.doc_id: r for r in passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].spans for i in (1, 2, 3, 4)] == ["0:60,160:215"] * 2 + ["90:142"] * 2
+    x, y = (np.array(z, np.uint16) for z in ([*range(60), *range(100, 120), *range(200, 260)], [*range(60), *range(300, 320), *range(200, 260)]))
+    assert passages.align(x, y, [(0, 0), (55, 55), (80, 80), (135, 135)]) == [(0, 60, 0, 60), (80, 140, 80, 140)]
+
+
+def test_chains_are_the_best_of_all_in_reach():
+    rng = random.Random(16)
+    for _ in range(60):
+        a, b = zip(*sorted({(rng.randrange(150), rng.randrange(150)) for _ in range(60)} | {(k, k) for k in range(0, 30, 4)} | {(k, k) for k in range(100, 130, 5)}), strict=True)
+        reach, score = passages.MAX_GAP + passages.SEED, []
+        for i in range(len(a)):
+            before = [j for j in range(i) if 0 < a[i] - a[j] <= reach and 0 < b[i] - b[j] <= reach]
+            score.append(passages.SEED + max([0, *(score[j] - passages.GAP_COST * abs(b[i] - a[i] - b[j] + a[j]) - passages.GAP_COST / 10 * (a[i] - a[j]) for j in before)]))
+        cost = lambda c: passages.SEED * len(c) - sum(passages.GAP_COST * abs(b[j] - a[j] - b[i] + a[i]) + passages.GAP_COST / 10 * (a[j] - a[i]) for i, j in zip(c, c[1:], strict=False))
+        chains = [c.tolist() for c in passages.chain(np.array(a), np.array(b))]
+        assert math.isclose(cost(chains[0]), max(score)) and all(0 < a[j] - a[i] <= reach and 0 < b[j] - b[i] <= reach for c in chains for i, j in zip(c, c[1:], strict=False))
+
+
 # --- 4
 
 

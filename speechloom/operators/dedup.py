@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 NEAR = 0.85
-#: A shingle held by more documents than this is no blocking key: it says nothing and would pair its holders all with all.
+#: The cap in the SQL of the near-duplicate queries; near_pairs has none.
 MAX_HOLDERS = 20
 
 
@@ -20,21 +20,29 @@ def exact_duplicates(df: DataFrame, keys: list[str], order: list[str], id_col: s
 
 
 def near_pairs(df: DataFrame, id_col: str, text: Column, least: float = NEAR) -> DataFrame:
-    """a < b, shared, jaccard of 3-word shingles; candidates share a shingle held by 2 to MAX_HOLDERS rows.
+    """a < b, shared, jaccard of 3-word shingles: all pairs of at least ``least``.
 
-    Shingles travel as 64-bit hashes; the Jaccard index comes from counts of shared shingles, so no shingle array is joined.
+    Rows of equal shingles form a class. Two classes of that Jaccard index share one of the rarest n - ceil(least * n) + 1 shingles
+    of each, in one order of all shingles (by holders, then hash), so only these are joined. Shingles travel as 64-bit hashes.
     """
-    g = df.select(F.col(id_col).alias("id"), F.transform(T.shingles(T.words(F.lower(text))), lambda x: F.xxhash64(x)).alias("g"))
-    keyed = g.select("id", F.explode("g").alias("s"))
-    held = keyed.groupBy("s").agg(F.count("*").alias("df")).where(f"df between 2 and {MAX_HOLDERS}")
-    rare = keyed.join(held.select("s"), "s")
-    a, b = rare.select("s", F.col("id").alias("a")), rare.select("s", F.col("id").alias("b"))
-    candidates = a.join(b, "s").where("a < b").select("a", "b").distinct()
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    arrays = g.join(ends, "id", "left_semi").select("id", F.col("g").alias("h"))  # arrays of documents with a candidate only
-    both = candidates.join(arrays.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(arrays.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("ha", "hb"))).withColumn("jaccard", F.col("shared") / (F.size("ha") + F.size("hb") - F.col("shared")))
-    return both.where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+    g = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(T.shingles(T.words(F.lower(text))), lambda x: F.xxhash64(x))).alias("g")).where("size(g) > 0")
+    named = g.groupBy("g").agg(F.min("id").alias("class"))
+    members = g.join(named, "g").select("id", "class", F.size("g").alias("n"))
+    keyed = named.select("class", F.size("g").alias("n"), F.explode("g").alias("s"))
+    held = keyed.groupBy("s").agg(F.count("*").alias("df"))
+    order = W.partitionBy("class").orderBy("df", "s")
+    prefix = keyed.join(held, "s").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1).where("df > 1")
+    x, y = (prefix.select("s", F.col("class").alias(c), F.col("n").alias(f"n{c}")) for c in "uv")
+    candidates = x.join(y, "s").where(F.col("u") < F.col("v")).where(F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-6).select("u", "v").distinct()
+    ends = candidates.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    arrays = named.join(ends, "class", "left_semi")  # arrays of classes with a candidate only
+    both = candidates.join(arrays.select(F.col("class").alias("u"), F.col("g").alias("hu")), "u").join(arrays.select(F.col("class").alias("v"), F.col("g").alias("hv")), "v")
+    both = both.withColumn("shared", F.size(F.array_intersect("hu", "hv"))).withColumn("jaccard", F.col("shared") / (F.size("hu") + F.size("hv") - F.col("shared")))
+    near = both.where(F.col("jaccard") >= least).select("u", "v", "shared", "jaccard")
+    p, q = members.select(F.col("id").alias("p"), F.col("class").alias("u"), "n"), members.select(F.col("id").alias("q"), F.col("class").alias("v"))
+    across = near.join(p.drop("n"), "u").join(q, "v").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
+    within = p.join(q, F.col("u") == F.col("v")).where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return across.union(within)
 
 
 def offenders(pairs: DataFrame) -> DataFrame:

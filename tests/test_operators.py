@@ -79,3 +79,15 @@ def test_quotas(total):
     assert sum(q.values()) == total and abs(q["noop"] - total * 0.2) <= 1 and q["formatting"] == total // 10
     with pytest.raises(ValueError):
         quota.quotas(10, (("a", 0.5), ("b", 0.4)))
+
+
+def test_near_pairs_of_large_groups(spark):
+    """Copies and near copies whose shingles all have more than 20 holders, against brute force."""
+    from speechloom.operators import dedup
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(25)] + [(100 + i, " ".join([*base[:58], f"x{i % 5}", "y"])) for i in range(25)] + [(200, "a b"), (201, "a b"), (202, " ".join(base[:30]))]
+    grams = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    want = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= dedup.NEAR}
+    got = [(r.a, r.b) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000

@@ -218,7 +218,8 @@ def q_seeds_and_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, (20240000 + doc_id) || '.' || (doc_id % 3) AS version, (doc_id % 10000) // 100 BETWEEN 1 AND 12 AND doc_id % 100 BETWEEN 1 AND 31 AS ok FROM documents WHERE doc_id < 10000")
 def q_dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The version check on version strings made from ids (those below 10,000 have the form of a date)."""
-    d = table(spark, sf_dir, "documents").select("doc_id").where("doc_id < 10000")
-    v = F.concat((F.lit(20240000) + F.col("doc_id")).cast("string"), F.lit("."), (F.col("doc_id") % 3).cast("string"))
+    """The version check on version strings made from ids: eight digits from 20240000 on, which start anew after 99999999."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    date = F.lit(20240000) + F.pmod(F.col("doc_id"), F.lit(79760000))
+    v = F.concat(date.cast("string"), F.lit("."), F.pmod(F.col("doc_id"), F.lit(3)).cast("string"))
     return d.select("doc_id", v.alias("version"), T.version_ok(v).alias("ok"))

@@ -91,3 +91,13 @@ def test_near_pairs_of_large_groups(spark):
     want = {(a, b) for a in grams for b in grams if a < b and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= dedup.NEAR}
     got = [(r.a, r.b) for r in dedup.near_pairs(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_versions_of_all_ids(spark, tmp_path):
+    from speechloom.plans import corpus_queries
+
+    ids = [0, 101, 9999, 10000, 10101, 123456, 79760101, 10**12, -1]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.version, r.ok) for r in corpus_queries.q_dataset_versions(spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids) and got[101] == ("20240101.2", True) and got[10101] == ("20250101.0", True) and got[10000] == ("20250000.1", False)
+    assert all(len(v) == 10 for v, _ in got.values()) and got[79760101][0].startswith("20240101.")

@@ -210,10 +210,59 @@ def test_second_passage_of_the_same_texts(spark):
     rows = [(i, " ".join([*head, *words(100), *foot])) for i in (1, 2)] + [(i, " ".join([*short, *words(60), *late])) for i in (3, 4)]
     got = {r.doc_id: r for r in passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].spans for i in (1, 2, 3, 4)] == ["0:60,160:215"] * 2 + ["90:142"] * 2
-    x, y = (np.array(z, np.uint16) for z in ([*range(60), *range(100, 120), *range(200, 260)], [*range(60), *range(300, 320), *range(200, 260)]))
+    x, y = (np.array(z, np.uint32) for z in ([*range(60), *range(100, 120), *range(200, 260)], [*range(60), *range(300, 320), *range(200, 260)]))
     assert passages.align(x, y, [(0, 0), (55, 55), (80, 80), (135, 135)]) == [(0, 60, 0, 60), (80, 140, 80, 140)]
 
 
+def edited(rng, words, n):
+    """words with n single-word changes, additions or losses, and the share of five-word shingles kept."""
+    at, out, kind = sorted(rng.sample(range(5, len(words) - 5), n)), list(words), {}
+    for i in reversed(at):
+        kind[i] = rng.choice("cal")
+        new = [f"z{rng.random()}"]
+        out[i : i + (kind[i] != "a")] = [] if kind[i] == "l" else new
+    a, b = (collections.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (words, out))
+    return out, (a & b).total() / max(len(words) - 4, len(out) - 4)
+
+
+def test_fuzzy_passages_of_the_stated_similarity(spark):
+    """Pairs that share an edited passage: all that keep 0.8 of their shingles are linked, and most others of 0.8 equal words."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("bcdfghklmn") for _ in range(5))
+    rows, like = [], {}
+    for i in range(0, 600, 2):
+        one = [word() for _ in range(rng.choice((51, 56, 64, 80, 120)))]
+        two, like[i] = edited(rng, one, rng.randrange(1, 5))
+        if len(two) < 50:
+            two, like[i] = one, 1.0
+        rows += [(i + k, " ".join([*(word() for _ in range(rng.randrange(40, 60))), *x, *(word() for _ in range(45))])) for k, x in enumerate((one, two))]
+    got = {r.doc_id: r for r in passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    linked = lambda i: got[i].component_id == got[i + 1].component_id == i
+    assert sum(s >= 0.8 for s in like.values()) > 60 and all(linked(i) for i, s in like.items() if s >= 0.8)
+    assert sum(linked(i) for i in like) >= 0.95 * len(like)
+
+
+def test_fuzzy_copy_of_a_frequent_passage(spark):
+    """A passage that more texts hold than are joined all with all, and two that hold it with changes."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("opqrstuvwx") for _ in range(6))
+    shared = [word() for _ in range(58)]
+    near = [*shared[:29], "other", *shared[30:]]
+    mid = {i: shared for i in range(90)} | {90: near, 91: [*shared[:25], "else", *shared[26:]]}
+    d = spark.createDataFrame([(i, " ".join([*(word() for _ in range(30)), *m, *(word() for _ in range(30))])) for i, m in mid.items()], "doc_id long, text string")
+    got = passages.find(spark, d).collect()
+    assert all(r.n_passages == 1 and r.component_id == 0 for r in got)
+
+
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    rng = random.Random(23)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    one, two = text(), text()
+    d = spark.createDataFrame([(1, one), (1, two), (2, two), (3, one), (3, "x")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_copies, r.component_id, r.spans) for r in passages.find(spark, d).collect())
+    assert got == [(1, 1, 1, 1, "0:60"), (1, 1, 1, 1, "0:60"), (2, 1, 1, 1, "0:60"), (3, 1, 1, 1, "0:60"), (3, 3, 0, 3, "")]
+
+
 def test_chains_are_the_best_of_all_in_reach():
     rng = random.Random(16)
     for _ in range(60):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What splits words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_RE = "[ \\t-\\r]+"
@@ -13,16 +14,18 @@ WORD_RE = "[^ \\t-\\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of the warehouse, which executors share as well."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    ctx = spark.sparkContext
-    held = ctx._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    ctx.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
-    return ctx._jsc.sc().getCheckpointDir().get()
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to any more are deleted now, not when the driver's memory next runs short."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -35,7 +38,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, df: DataFrame):
         self.spark, self.path = spark, f"{shared_dir(spark)}/loom/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -47,3 +50,20 @@ class Table:
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The rows of df from a written table: later reads neither repeat its work nor depend on executors' disks."""
     return Table(spark, df).df
+
+
+def with_groups(spark: SparkSession, rows: DataFrame, key: str, spread: list[str], aggregates: list, keep: str) -> DataFrame:
+    """rows with the aggregates of their group by the long column key, where keep holds; no key gathers many rows in one task.
+
+    Groups are aggregated before they are shuffled. Keys with more than one in 10,000 of the rows of kept groups (so 10,000 keys at
+    most) are joined by broadcast, and their rows are spread by the columns given instead of the key.
+    """
+    groups = written(spark, rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates).where(keep))
+    names = [c for c in groups.columns if c not in (key, "__n")]
+    total = groups.agg(F.sum("__n")).first()[0] or 0
+    hot = groups.where(F.col("__n") > max(1000, total // 10_000)).select(F.col(key).alias("__hot"), F.struct(*names).alias("__h"))
+    cold = groups.where(F.col("__n") <= max(1000, total // 10_000)).select(F.col(key).alias("__key"), F.struct(*names).alias("__c"))
+    r = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    r = r.withColumn("__at", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread)))
+    r = r.join(cold.hint("merge"), F.col("__at") == F.col("__key"), "left").withColumn("__g", F.coalesce("__h", "__c")).where("__g is not null")
+    return r.select(*rows.columns, *[F.col("__g").getField(c).alias(c) for c in names])

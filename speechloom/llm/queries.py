@@ -66,7 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda x: F.concat_ws(":", x["kinds"], x["starts"], x["ends"]))
     base = F.filter(F.col("spans"), lambda x: ~x.startswith("id:"))
     d = d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", spans.alias("spans"))
-    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

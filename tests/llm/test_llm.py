@@ -528,6 +528,68 @@ def test_patterns_find_unseen_identifiers(spark):
     assert hidden[10] == "mail <EMAIL> now <PHONE> or <IP> and <CARD>" and hidden[3] is None
 
 
+def brute_patterns(texts, rounds=pii.ROUNDS):
+    """Scores of the pattern-instance graph by plain loops."""
+    edges = collections.Counter()
+    facts = {}
+    for t in texts:
+        for a, b, kind, seed, held in pii.candidates(t or "", pii.base_spans(t or "")):
+            for p in held:
+                edges[p, t[a:b]] += 1
+                s, d = facts.get((p, t[a:b]), (False, 0.0))
+                facts[p, t[a:b]] = (s or seed, max(d, 1.0 if seed or kind in ("num", "plain", "mail") else pii.DOUBT))
+    score = {e: float(s) for e, (s, _) in facts.items()}
+    for _ in range(rounds):
+        rate = {}
+        for p in {p for p, _ in edges}:
+            mine = [e for e in edges if e[0] == p]
+            support = sum(score[e] > 0 for e in mine)
+            r = sum(score[e] * edges[e] for e in mine) / sum(max(score[e], facts[e][1]) * edges[e] for e in mine)
+            if support >= pii.MIN_SUPPORT and r >= pii.MIN_SCORE:
+                rate[p] = (r, support)
+        best = collections.defaultdict(float)
+        for p, i in edges:
+            if p in rate:
+                best[i] = max(best[i], rate[p][0])
+        score = {e: 1.0 if facts[e][0] else pii.DECAY * best[e[1]] for e in edges}
+    return rate
+
+
+def planted(rng):
+    """Texts with seeds in contexts, and identifiers of no known shape in the same contexts."""
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    phone = lambda: f"+49 30 {rng.randrange(10**6, 10**7)}"
+    texts = [f"Reach us, phone: {phone()} or mail." for _ in range(40)] + [f'Set db.password = "{hexes(18)}" first.' for _ in range(20)]
+    texts += [f"Please ask for customer number {rng.choice('4')}111 1111 1111 1111 today." for _ in range(3)] + [f"In the year {y} it rained, see note: sunny" for y in range(1990, 2010)]
+    unseen = [(f"Or phone: {(x := f'555-123-{k:04}')} then.", x) for k in range(10)] + [(f"use db.password = '{(x := hexes(21))}'", x) for _ in range(10)] + [(f"session.key={(x := hexes(22))} end", x) for _ in range(10)]
+    return texts, unseen
+
+
+def test_pattern_scores_are_those_of_brute_force(spark):
+    texts, unseen = planted(random.Random(31))
+    texts += [t for t, _ in unseen] + [None, ""]
+    got = {r.pattern: (round(r.score, 9), r.support) for r in pii.learn_patterns(spark, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()}
+    want = {pii._key(p): (round(r, 9), n) for p, (r, n) in brute_patterns(texts).items()}
+    assert got == want and len(got) >= 4
+
+
+def test_identifiers_of_no_known_shape_are_found(spark):
+    texts, unseen = planted(random.Random(32))
+    rows = [(i, t) for i, t in enumerate([*texts, *(t for t, _ in unseen)])]
+    got = {r.doc_id: [r.text[a:b] for k, a, b in zip(r.kinds, r.starts, r.ends, strict=True) if k == "id"] for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[len(texts) + i] == [x] for i, (_, x) in enumerate(unseen))
+    assert found >= 0.9 * len(unseen)
+    assert all(not got[i] for i in range(len(texts)) if "password" not in texts[i])
+
+
+def test_spans_of_patterns_in_the_documents(spark):
+    """All spans that patterns add on the tables are secrets: values of password= or token = fields, or keys."""
+    s = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{s}/documents.parquet")
+    ids = [r.text[max(0, a - 12) : b] for r in pii.find(spark, d).collect() for k, a, b in zip(r.kinds, r.starts, r.ends, strict=True) if k == "id"]
+    assert len(ids) >= 10 and all(re.search(r"password=|token = |AKIA", x) for x in ids)
+
+
 # --- pipeline
 
 

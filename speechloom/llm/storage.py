@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import uuid
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,17 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return Table(spark, df).df
 
 
+class Sent:
+    """A value on every executor, its classes with it, so that executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> Any:
+        return pickle.loads(self.held.value)
+
+
 def with_groups(spark: SparkSession, rows: DataFrame, key: str, spread: list[str], aggregates: list, keep: str) -> DataFrame:
     """rows with the aggregates of their group by the long column key, where keep holds; no key gathers many rows in one task.
 

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from speechloom.llm import embedding_dedup, language_id, mixing, packing, passages, pii, quality_rules, queries, resample, simhash_dedup, toxicity
+from speechloom.llm import chars, embedding_dedup, language_id, mixing, packing, passages, pii, quality_rules, queries, resample, simhash_dedup, toxicity
 from speechloom.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -394,7 +394,7 @@ def test_held_out_folds(spark):
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
-    lab = language_id.Labeller(["a", "b", "c"], {}, np.zeros((3, 1)), np.ones((3, 3), bool))
+    lab = language_id.Labeller(["a", "b", "c"], [], np.ones((3, 3), bool))
     lab.scores = rng.normal(size=(50, 3)).astype(np.float32) * 6
     lab.letters = np.ones(50, np.int32)
     texts = [rng.integers(0, 50, n) for n in (5, 0, 1, 7, 6)]
@@ -406,6 +406,86 @@ def test_viterbi_is_the_best_path():
         assert len(p) == len(t) and abs(total(t, p.tolist()) - best) < 1e-3
 
 
+def test_every_script_is_learned(spark):
+    """Two languages of one script that is rare in the corpus, beside Latin text of many letters."""
+    rng = random.Random(41)
+    many = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž"
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 9)))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(text(many), "xx") for _ in range(400)] + [(text(x), k) for x, k in (("абвгдежзи", "yy"), ("клмнопрст", "zz")) for _ in range(60)]
+    rows += [(text(f"{chr(0x4E00 + 40 * k)}{chr(0x4E03 + 40 * k)}{chr(0x4E11 + 40 * k)}"), f"l{k}") for k in range(70) for _ in range(8)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = [r for r in language_id.identify(spark, d).collect() if r.held_out]
+    right = collections.Counter(rows[r.doc_id][1] for r in got if r.lang_pred == rows[r.doc_id][1])
+    total = collections.Counter(rows[r.doc_id][1] for r in got)
+    assert all(right[k] >= 0.95 * total[k] for k in ("xx", "yy", "zz")) and sum(right.values()) >= 0.95 * len(got) and len(total) > 60
+
+
+def test_character_models_are_those_of_the_formulas():
+    """Word scores of a language, and the evidence of both classes, against plain dictionaries."""
+    rng = random.Random(42)
+    word = lambda: "".join(rng.choice("abcж") for _ in range(rng.randrange(1, 6)))
+    sets = [collections.Counter(word() for _ in range(150)) for _ in range(2)]
+
+    def ngrams(w, order):
+        x = ["^"] * (order - 1) + list(w) + ["$"]
+        return [tuple(x[k : k + order]) for k in range(len(x) - order + 1)]
+
+    def count(words, order):
+        n = collections.Counter()
+        for w, c in words.items():
+            for g in ngrams(w, order):
+                n[g] += c
+        return n
+
+    def keyed(words, order):
+        g, i = chars.grams(list(words), order)
+        u, inv = np.unique(g, return_inverse=True)
+        return u, np.bincount(inv, weights=np.array(list(words.values()))[i])
+
+    n = [collections.Counter(), *(collections.Counter() for _ in range(3))]
+    for g, c in count(sets[0], 3).items():
+        for k in (1, 2, 3):
+            n[k][g[-k:]] += c
+
+    def p(g):
+        if not g:
+            return 1 / 6
+        context = {x: c for x, c in n[len(g)].items() if x[:-1] == g[:-1]}
+        kinds = max(1, len(context))
+        return (n[len(g)][g] + kinds * p(g[1:])) / (sum(context.values()) + kinds)
+
+    model = language_id.CharModel(*keyed(sets[0], 3), 6)
+    for w in ("abc", "жaж", "q", "cab"):
+        assert math.isclose(model(chars.grams([w], 3)[0]).sum(), sum(math.log(p(g)) for g in ngrams(w, 3)), rel_tol=1e-5)
+
+    c4 = [count(s, 4) for s in sets]
+    n3 = collections.Counter(g[1:] for g in set(c4[0]) | set(c4[1]))
+    n2 = collections.Counter(g[1:] for g in n3)
+    n1 = collections.Counter(g[1:] for g in n2)
+
+    def kn(counts, g, below):
+        context = [c for x, c in counts.items() if x[:-1] == g[:-1] and c]
+        if not context:
+            return below
+        return max(counts[g] - 0.75, 0) / sum(context) + 0.75 * len(context) / sum(context) * below
+
+    def shared(g):
+        uni = (n1[g[-1:]] + 0.5) / (sum(n1.values()) + 0.5 * (len(n1) + 1))
+        return kn(n3, g[-3:], kn(n2, g[-2:], uni))
+
+    keys = np.unique(np.concatenate([keyed(s, 4)[0] for s in sets]))
+    both = [np.zeros(len(keys)) for _ in sets]
+    for x, s in zip(both, sets, strict=True):
+        k, v = keyed(s, 4)
+        x[np.searchsorted(keys, k)] = v
+    scorer = toxicity.Scorer(*toxicity.evidence(keys, *both))
+    for w in ("abc", "жaж", "cab", "aaaa", "qa"):
+        scorer.words([w])
+        assert math.isclose(scorer.seen[w][0], sum(math.log(kn(c4[0], g, shared(g))) - math.log(kn(c4[1], g, shared(g))) for g in ngrams(w, 4)), rel_tol=1e-4, abs_tol=1e-4)
+
+
 def test_mixed_language_spans(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     half = {r.lang: " ".join(r.text.split()[:60]) for r in d.where("length(text) > 900").limit(80).collect()}

@@ -1,19 +1,21 @@
 """Embedding near-duplicates by cross-polytope hashing after fast Hadamard rotations, with multiprobe buckets and verified pairs.
 
 Vectors equal bit for bit (within a label) form a class, and classes are hashed: in each table a class is put in the bucket of its nearest vertices
-and, by multiprobe, in the bucket with the next nearest vertex of the less certain of its two rotations. Rows of a bucket
+and, by multiprobe, in the bucket with the next nearest vertex of the least certain of its rotations. A key has as many rotations as keep buckets
+near BUCKET rows whatever the number of vectors, and as many tables as find a pair at the least cosine nearly always. Rows of a bucket
 stream past in key order and are compared in double precision; a bucket of any size is dealt as pairs of blocks, so no task
 holds it whole. A pair met in several buckets counts in the first of them only, so that links are counted without listing them:
 a class's links are summed, and a spanning forest of each block pair is all that goes on to the components.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a label, link with nothing; labels are
 compared as they are; vectors of different lengths link with nothing; repeated vectors link with each other; rows that repeat a vec_id count as
-vectors of their own and share a component; an empty table gives no rows; other columns play no part.
+vectors of their own and share a component; ties of vertices fall to the first axis; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,8 @@ from .components import connected_components
 from .storage import written
 
 MIN_COSINE = 0.98
-TABLES = 14
+#: Rows that a bucket holds about at most, if vectors are spread evenly: more vectors get keys of more rotations.
+BUCKET = 64
 #: Rows of one block of a bucket; larger buckets are compared block by block.
 BLOCK = 256
 SEED = 20_240_501
@@ -60,22 +63,32 @@ def vertices(x: np.ndarray, table: int, part: int) -> tuple[np.ndarray, np.ndarr
     return one, sign(second), top - size[rows, second]
 
 
-def keys(x: np.ndarray) -> np.ndarray:
+def layout(n: int, width: int) -> tuple[int, int]:
+    """Rotations of a key and number of tables for n vectors of a width; measured in the tests."""
+    vertices_each = 2 << max(1, (width - 1).bit_length())
+    parts = max(2, math.ceil(math.log(max(1, n / BUCKET)) / math.log(vertices_each)))
+    return parts, math.ceil(14 * 1.6 ** (parts - 2))
+
+
+def keys(x: np.ndarray, parts: int = 2, tables: int = 14) -> np.ndarray:
     """Two bucket keys for every row and table: that of its vertices, and the probe."""
-    out = np.zeros((len(x), 2 * TABLES), np.int64)
-    for t in range(TABLES):
-        a, a2, da = vertices(x, t, 0)
-        b, b2, db = vertices(x, t, 1)
-        probe = np.where(da < db, a2 << 20 | b, a << 20 | b2)
-        out[:, 2 * t] = t << 48 | a << 20 | b
-        out[:, 2 * t + 1] = t << 48 | probe
+    out = np.zeros((len(x), 2 * tables), np.int64)
+    for t in range(tables):
+        got = [vertices(x, t, p) for p in range(parts)]
+        weakest = np.argmin([g[2] for g in got], axis=0)
+        for probe in (0, 1):
+            key = np.zeros(len(x), np.uint64)
+            for p, (one, two, _) in enumerate(got):
+                v = np.where(weakest == p, two, one) if probe else one
+                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (v.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+            out[:, 2 * t + probe] = (np.uint64(t) << np.uint64(48) | key >> np.uint64(16)).astype(np.int64)
     return out
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest key that rows of a and rows of b have in common (tables ascend, so compare table by table)."""
     best = np.full(len(a), np.iinfo(np.int64).max)
-    for t in range(0, 2 * TABLES, 2):
+    for t in range(0, a.shape[1], 2):
         for i in (t, t + 1):
             for j in (t, t + 1):
                 same = a[:, i] == b[:, j]
@@ -103,14 +116,14 @@ def _unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """rep, label, width, key: the buckets of each class."""
     for b in batches:
         reps, labels, vectors = (b.column(i).to_pylist() for i in range(3))
         widths = np.array([len(v) for v in vectors])
         for w in np.unique(widths):
             at = np.flatnonzero(widths == w)
-            k = np.sort(keys(_unit([vectors[i] for i in at])), axis=1)
+            k = np.sort(keys(_unit([vectors[i] for i in at]), *layout(n, int(w))), axis=1)
             new = np.column_stack([np.ones(len(at), bool), k[:, 1:] != k[:, :-1]])
             row, col = np.nonzero(new)
             yield pa.record_batch([pa.array([reps[at[r]] for r in row], pa.int64()), pa.array([labels[at[r]] for r in row], pa.string()), pa.array([int(w)] * len(row), pa.int32()), pa.array(k[row, col])], names=["rep", "label", "width", "key"])
@@ -145,7 +158,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
     """u, v, links: verified links of each run of equal (label, width, key, left, right) in rows sorted by it.
 
     A row (u, null, n) adds n linked vectors to class u; a row (u, v, null) is a link of a spanning forest.
@@ -167,7 +180,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             return
         at, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        k, mine = keys(x[at]), np.zeros(len(i), bool)
+        k, mine = keys(x[at], *layout(total, x.shape[1])), np.zeros(len(i), bool)
         ki, kj = back[: len(i)], back[len(i) :]
         for a in range(0, len(i), 100_000):
             mine[a : a + 100_000] = first_shared(k[ki[a : a + 100_000]], k[kj[a : a + 100_000]]) == key
@@ -195,7 +208,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(spark: SparkSession, classes: DataFrame) -> DataFrame:
     """u, v, links as _compare has them, from classes (rep, label, embedding, n)."""
-    rows = classes.select("rep", "label", "embedding").mapInArrow(lambda it: _merge(_hashed(it)), "rep long, label string, width int, key long")
+    total = classes.count()
+    rows = classes.select("rep", "label", "embedding").mapInArrow(lambda it: _merge(_hashed(it, total)), "rep long, label string, width int, key long")
     buckets = written(spark, rows)
     by = ["label", "width", "key"]
     sizes = buckets.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1")
@@ -207,7 +221,7 @@ def links(spark: SparkSession, classes: DataFrame) -> DataFrame:
     near = near.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("size", "blocks", "other")
     whole = near.join(classes.select("rep", "n", "embedding"), "rep")
     dealt = whole.select("rep", "n", "embedding", "block", "key", "left", "right", "label", "width").repartition("label", "width", "key", "left", "right").sortWithinPartitions("label", "width", "key", "left", "right")
-    return dealt.mapInArrow(_compare, "u long, v long, links long")
+    return dealt.mapInArrow(lambda it: _compare(it, total), "u long, v long, links long")
 
 
 def near_duplicates(spark: SparkSession, table: DataFrame) -> DataFrame:
@@ -218,7 +232,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame) -> DataFrame:
     ids = written(spark, rows.select("vec_id", "label", "digest", F.when(F.col("digest").isNotNull(), F.col("embedding")).alias("embedding")))
     good = ids.where("digest is not null")
     classes = good.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = written(spark, classes.withColumn("rep", F.xxhash64("digest")))
+    classes = written(spark, classes.withColumn("rep", F.monotonically_increasing_id()))
     found = written(spark, links(spark, classes))
     sums = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("far"))
     comps = connected_components(spark, found.where("v is not null").select("u", "v"))

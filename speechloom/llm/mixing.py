@@ -7,8 +7,8 @@ exceeds its size is read again from the start, so a document is taken at most ``
 target ends is taken in part.
 
 Cases: null text has size 0 and is never taken; null source is a source of its own, last in rank; null doc_id is allowed;
-ties in the hash order are broken by doc_id and size (rows equal in all three change places freely); an empty table gives
-no rows; other columns play no part. Prefix sums go over three levels of hash buckets, so that no task holds a source.
+ties in the hash order are broken by doc_id, size and a hash of the text (equal rows change places freely); an empty table gives
+no rows; a very long text is counted whole, and cut by an expression without recursion; other columns play no part. Prefix sums go over three levels of hash buckets, so that no task holds a source.
 The tables of sources and of their 256 buckets are the only ones sorted whole; they have a row or 256 rows per source.
 """
 
@@ -70,7 +70,7 @@ def placed(spark: SparkSession, docs: DataFrame, keep: Column | None = None, cur
     src = F.struct(F.col("source").isNull().alias("is_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"))
     src = src.cast("struct<is_null:boolean,name:string>")  # as it is read back: with another nullability the window would shuffle the texts anew after the join
     key = F.xxhash64("doc_id", "size")
-    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"), *([keep.alias("keep")] if keep is not None else []))
+    d = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie"), *([keep.alias("keep")] if keep is not None else []))
     d = d.withColumn("src", src).withColumn("key", key).withColumn("b1", F.col("key").bitwiseAND(255)).withColumn("b2", F.shiftright("key", 8).bitwiseAND(255))
     small = d.select("src", "b1", "b2", "size")
     if keep is None:  # a few numbers a row: worth keeping, so that the texts are read once
@@ -84,7 +84,7 @@ def placed(spark: SparkSession, docs: DataFrame, keep: Column | None = None, cur
     l2 = l2.withColumn("o2", before("s", "src", "b1", "b2")).join(l1, ["src", "b1"])
     l2 = l2.select("src", "b1", "b2", (F.col("o1") + F.col("o2")).alias("o"), "source_size", "rank", "target")
     d = d.join(l2.hint("merge"), ["src", "b1", "b2"])  # sums grow with the sources: the same plan at every size
-    inside = W.partitionBy("src", "b1", "b2").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("src", "b1", "b2").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("first", F.col("o") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     goal = F.round("target").cast("long")
     zero = F.lit(0).cast("long")

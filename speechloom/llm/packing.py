@@ -259,11 +259,39 @@ def crossover(one: list, two: list, limit: int, rng: random.Random) -> list[list
     return best_fit(loose, [*map(list, good), *kept], limit)
 
 
+def dominate(free: list[int], bins: list[list[int]], limit: int) -> list[int]:
+    """Items of bins give way to longer free ones, or to two free ones that fill the bin better; the items now free are shorter."""
+    free = sorted(free)
+    for b in bins:
+        room = limit - sum(b)
+        for k in range(len(b)):
+            if not room:
+                break
+            x = b[k]
+            i = bisect.bisect_right(free, x + room) - 1
+            one = free[i] if i >= 0 else 0
+            best, pair = one, None
+            for u in range(min(len(free), 12)):  # the shortest free items with the longest that fits beside each
+                v = bisect.bisect_right(free, x + room - free[u]) - 1
+                if v > u and free[u] + free[v] > best:
+                    best, pair = free[u] + free[v], (u, v)
+            if best > x:
+                room -= best - x
+                got = [free[i]] if pair is None else [free[pair[0]], free[pair[1]]]
+                for y in got:
+                    free.pop(bisect.bisect_left(free, y))
+                b[k : k + 1] = got
+                bisect.insort(free, x)
+    return free
+
+
 def mutate(bins: list, limit: int, rng: random.Random) -> list[list[int]]:
-    """The worst-filled bins and a few others are opened and best-fitted anew."""
+    """The worst-filled bins and a few others are opened; their items replace shorter ones elsewhere, and the rest is best-fitted anew."""
     order = sorted(bins, key=sum)
     out = set(range(max(1, len(order) // 20))) | {rng.randrange(len(order)) for _ in range(max(1, len(order) // 20))}
-    return best_fit([x for i in out for x in order[i]], [list(b) for i, b in enumerate(order) if i not in out], limit)
+    kept = [list(b) for i, b in enumerate(order) if i not in out]
+    rng.shuffle(kept)
+    return best_fit(dominate([x for i in out for x in order[i]], kept, limit), kept, limit)
 
 
 def evolve(items: list[int], limit: int, seed: int, elites: list[Bins], generations: int = GENERATIONS) -> Bins:
@@ -348,6 +376,8 @@ def slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 def pack_pieces(spark: SparkSession, pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """pieces (a table that is cheap to read again) with sequence_id and offset."""
+    full = pieces.where(F.col("length") == limit).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))  # sequences of their own, neither ranked nor shuffled
+    pieces = pieces.where(F.col("length") < limit)
     lengths = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most limit rows
     table = slots(plan(spark, lengths, limit))
     held = spark.sparkContext.broadcast(table)
@@ -368,7 +398,7 @@ def pack_pieces(spark: SparkSession, pieces: DataFrame, limit: int = LIMIT) -> D
             yield pa.record_batch([*cols, pa.array(t["bin"][i] + rank - t["first"][i]), pa.array(t["offset"][i])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     chosen = p.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"))
-    return chosen.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return chosen.mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").union(full.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

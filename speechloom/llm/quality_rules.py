@@ -3,6 +3,8 @@
 Punctuation, navigation and boilerplate rules are evaluated per line; failing lines are removed; a document that
 loses too much of its text, or breaks a document rule on length or repetition, is rejected.
 
+Boilerplate is known by fixed phrases; lines that only repeat over the corpus are not looked for.
+
 Cases: null text counts as no words and is rejected; empty lines are neither kept nor counted as lost; a text of one very
 long line is one line; ties do not arise; repeated rows are judged alike; an empty table gives no rows; other columns,
 whatever their names, are carried in ``row`` by ``judge`` and play no part.
@@ -29,6 +31,9 @@ BOILERPLATE = (
     "licensed under", "all rights reserved", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "accept cookies", "enable javascript", "subscribe to our", "sign up for our newsletter", "spdx-license-identifier", "powered by",
 )
+#: A line of at most so many characters and words that does not end like a sentence is a menu's or a heading.
+SHORT_CHARS, SHORT_WORDS = 40, 4
+SENTENCE_END = "[.!?…:;。！？][\"'”»)\\]]*[ \\t-\\r]*$"
 #: Only texts with one of these, or a phrase above, can hold a line that fails for more than having no letter.
 SUSPECT = "[©|»›•!#*$%&<>]"
 
@@ -85,8 +90,14 @@ def boilerplate(text: Column) -> Column:
     return let(F.lower(text), any_of)
 
 
+def no_sentence(line: Column) -> Column:
+    """Whether a line is short and does not end like a sentence."""
+    few = line.rlike(f"^[ \\t-\\r]*+(?:[^ \\t-\\r]++[ \\t-\\r]*+){{1,{SHORT_WORDS}}}+$")
+    return (F.length(line) <= SHORT_CHARS) & few & ~line.rlike(SENTENCE_END)
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line with words breaks a rule: no sentence, menu, boilerplate, symbols, shouting."""
+    """Whether a line with words breaks a rule on signs or phrases: menu, boilerplate, symbols, shouting."""
     tight = F.regexp_replace(line, SPACE_RE, "")
     chars = F.length(tight)
     symbols = chars - F.length(F.regexp_replace(tight, SYMBOLS, ""))
@@ -110,7 +121,7 @@ def judge(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_join(F.filter(F.when(F.col("suspect"), F.filter("lines", lambda x: ~line_fails(x))).otherwise(F.col("lines")), lambda x: x.rlike("\\pL")), "\n").alias("clean_text"),
+        F.array_join(F.filter(F.when(F.col("suspect"), F.filter("lines", lambda x: ~line_fails(x))).otherwise(F.col("lines")), lambda x: x.rlike("\\pL") & ~no_sentence(x)), "\n").alias("clean_text"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     left = F.length(F.regexp_replace("clean_text", SPACE_RE, ""))

@@ -86,13 +86,17 @@ _FAILS = (
     f" OR (length({_TIGHT.format(t='x')}) >= 10 AND ({_GONE.format(t='x', c='#*$%&|<>')}) * 10 > length({_TIGHT.format(t='x')}))"
     f" OR (len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')}) >= 5 AND {_GONE.format(t='x', c='!')} >= len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')})))"
 )
+_NO_SENTENCE = (
+    f"(length(x) <= {quality_rules.SHORT_CHARS} AND len({_WORDS.format(t='x').replace('lambda x: x', 'lambda y: y')}) <= {quality_rules.SHORT_WORDS}"
+    f" AND NOT regexp_matches(x, '{quality_rules.SENTENCE_END.replace(chr(39), chr(39) * 2)}'))"
+)
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": (
         f"WITH d AS (SELECT doc_id, text, {_WORDS.format(t='text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS ls FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),"
         " win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)), dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),"
         " cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM dup) GROUP BY doc_id),"
         f" c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_GONE.format(t='text', c='#*$%&|<>')} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,"
-        f" coalesce(list_sum(list_transform(list_filter(ls, lambda x: regexp_matches(x, '\\pL') AND NOT {_FAILS}), lambda x: length({_TIGHT.format(t='x')}))), 0) AS remaining FROM d LEFT JOIN cov USING (doc_id)),"
+        f" coalesce(list_sum(list_transform(list_filter(ls, lambda x: regexp_matches(x, '\\pL') AND NOT {_NO_SENTENCE} AND NOT {_FAILS}), lambda x: length({_TIGHT.format(t='x')}))), 0) AS remaining FROM d LEFT JOIN cov USING (doc_id)),"
         f" b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)"
         f" SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND remaining >= {quality_rules.MIN_KEPT_SHARE} * word_chars AS kept FROM b"
     ),

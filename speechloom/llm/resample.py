@@ -7,7 +7,8 @@ without replacement in proportion to their weights. k is a share of all document
 The k-th largest key is found exactly by narrowing histograms of 65,536 cells; no ranking passes through one task.
 
 Cases: null and empty texts have log weight 0; null labels are not counted; without labels the weight is 0 and k is all rows; rows that
-tie with the k-th are all selected; repeated rows count as often as they occur; an empty table gives no rows; other columns play no part.
+tie with the k-th (in 2^-20 of a unit and 12 bits of a hash) are all selected; repeated rows count as often as they occur; an empty table gives no rows;
+very long texts are weighed whole; other columns play no part, a clashing column of labels included.
 """
 
 from __future__ import annotations
@@ -107,8 +108,9 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: flo
 
     u = (F.shiftrightunsigned(F.xxhash64("id", F.lit("gumbel")), 11).cast("double") + 0.5) / float(1 << 53)
     scored = d.mapInArrow(weigh, "id long, w double").withColumn("score", F.col("w") - F.log(-F.log(u)))
-    # an order-preserving unsigned integer: at 2^-20 of a unit of log weight
-    keyed = written(spark, scored.withColumn("key", F.greatest(F.lit(0.0), F.least(F.lit(9e18), (F.col("score") + float(1 << 42)) * float(1 << 20))).cast("long")))
+    # an order-preserving integer: steps of 2^-20 of a unit of log weight, then 12 bits of a hash
+    steps = F.greatest(F.lit(-float(1 << 50)), F.least(F.lit(float(1 << 50)), F.col("score") * float(1 << 20))).cast("long")
+    keyed = written(spark, scored.withColumn("key", F.shiftleft(steps + F.lit(1 << 50), 12) + F.xxhash64("id", F.lit("tie")).bitwiseAND(4095)))
     if share is None:
         n, good = marks.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
         share = good / n if n else 1.0

@@ -1,8 +1,9 @@
 """SimHash near-duplicates: fingerprints by 3-word shingles, links found through shared blocks.
 
 Cases: null or wordless text has fingerprint zero and is linked like any other; null doc_id rows get a
-fingerprint but never name a component unless all of its rows are null; repeated rows stay repeated;
-an empty table gives no rows; extra columns are ignored, whatever their names.
+fingerprint but never name a component unless all of its rows are null; repeated rows stay repeated (``dedup`` keeps one);
+ties of a bit's votes give 0; very long texts are read whole, their shingles summed in parts; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,8 +97,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, in its columns, whose doc_id names their component: one of each group. Rows without a doc_id stay."""
-    names = near_duplicates(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    have = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__d"), F.col("doc_id").cast("long").alias("__id"))
-    stay = have.join(names, F.col("__id") == F.col("__kept"), "left_semi").select("__d.*")
-    return stay.union(have.where("__id is null").select("__d.*"))
+    """The rows of docs, in its columns, whose doc_id names their component: one of each group. Rows without a doc_id stay.
+
+    Of equal texts under one doc_id one row stays, whichever; only rows whose doc_id occurs again are shuffled for that.
+    """
+    names = near_duplicates(spark, docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"))
+    have = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__d"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.col("text").cast("string")).alias("__text"))
+    stay = have.join(names, F.col("__id") == F.col("__kept"))
+    once = stay.where("__n > 1").dropDuplicates(["__id", "__text"])
+    return stay.where("__n = 1").select("__d.*").union(once.select("__d.*")).union(have.where("__id is null").select("__d.*"))

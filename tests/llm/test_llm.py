@@ -159,6 +159,28 @@ def test_words_are_encoded_as_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tokens(t).tolist() for t in texts]
 
 
+def test_crossover_beats_best_fit():
+    """Triplets that fill a bin exactly: best fit alone leaves room, the islands' evolution packs closer."""
+    rng, items = random.Random(6), []
+    for _ in range(60):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(260, (1000 - a) - 250)
+        items += [a, b, 1000 - a - b]
+    alone = len(packing.best_fit(items, [], 1000))
+    found = packing.evolve(items, 1000, 5, [], generations=60)
+    assert sorted(x for b in found for x in b) == sorted(items) and all(sum(b) <= 1000 for b in found)
+    assert 60 <= len(found) < alone
+
+
+def test_crossover_injects_whole_bins():
+    rng = random.Random(1)
+    one, two = [[500, 300], [400, 400], [200, 100]], [[500, 400, 100], [400, 300, 200]]
+    for _ in range(20):
+        got = packing.crossover(one, two, 1000, rng)
+        assert sorted(x for b in got for x in b) == [100, 200, 300, 400, 400, 500] and all(sum(b) <= 1000 for b in got)
+        assert any(sorted(b) in ([100, 400, 500],) or sum(b) >= 900 for b in got)
+
+
 # --- 3
 
 
@@ -318,6 +340,17 @@ def test_line_rules(spark):
     assert quality_rules.clean(empty(spark)).count() == 0 and quality_rules.clean(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_lines_of_a_menu_without_signs(spark):
+    rng = random.Random(44)
+    word = lambda: "".join(rng.choice("abdefgilmnorstu") for _ in range(6))
+    prose = "\n".join(f"The {' '.join(word() for _ in range(11))} came." for _ in range(8))
+    menu = "\n".join(x for _ in range(20) for x in (word().title(), f"{word()} {word()}", f"Log {word()}"))
+    mixed = "A Short Heading\n" + prose + "\nHe went home."
+    d = spark.createDataFrame([(1, menu), (2, prose), (3, mixed)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert not got[1].kept and got[2].kept and got[2].clean_text == prose and got[3].clean_text == prose + "\nHe went home."
+
+
 # --- 5
 
 
@@ -349,6 +382,22 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(spark, d.limit(0)).count() == 0
 
 
+def test_recall_of_longer_keys():
+    """Pairs at the least cosine share a bucket nearly always, however many rotations a key has."""
+    rng = np.random.default_rng(12)
+    for width in (16, 64):
+        x = rng.normal(size=(800, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = rng.normal(size=x.shape)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.981 * x + math.sqrt(1 - 0.981**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        for n in (10**4, 10**7, 10**9):
+            parts, tables = embedding_dedup.layout(n, width)
+            a, b = embedding_dedup.keys(x, parts, tables), embedding_dedup.keys(y, parts, tables)
+            assert (embedding_dedup.first_shared(a, b) < np.iinfo(np.int64).max).mean() >= 0.97, (width, n, parts, tables)
+    assert embedding_dedup.layout(10**4, 64)[0] == 2 < embedding_dedup.layout(10**9, 64)[0]
+
+
 def test_bucket_of_many_blocks(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=16)
@@ -565,6 +614,11 @@ def test_near_duplicates_of_odd_input(spark):
     assert kept.columns == odd_docs(spark).columns and {r.doc_id for r in kept.collect()} == {1, 3, 6, 7, 8, 9, 10, None}
 
 
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "t u v w"), (1, "t u v w"), (2, "t u v w"), (3, "other words here"), (None, "t u v w")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash_dedup.dedup(spark, d).collect()) == [(0, "t u v w"), (1, "t u v w"), (3, "other words here")]
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(1)
     nodes = rng.sample(range(10_000), 300)
@@ -687,6 +741,15 @@ def test_pipeline(spark):
     assert {"doc_id", "sequence_id", "offset"} <= set(P.run(spark, SF).columns)
 
 
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    import corpus_pipeline as P
+
+    for name, made in (("odd", odd_docs(spark)), ("none", empty(spark))):
+        made.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = P.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} <= {1, 6, 10} and bool(out) == (name == "odd")
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     import duckdb

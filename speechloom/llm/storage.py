@@ -73,6 +73,7 @@ def with_groups(spark: SparkSession, rows: DataFrame, key: str, spread: list[str
     most) are joined by broadcast, and their rows are spread by the columns given instead of the key.
     """
     groups = written(spark, rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates).where(keep))
+    release(spark)
     names = [c for c in groups.columns if c not in (key, "__n")]
     total = groups.agg(F.sum("__n")).first()[0] or 0
     hot = groups.where(F.col("__n") > max(1000, total // 10_000)).select(F.col(key).alias("__hot"), F.struct(*names).alias("__h"))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 NEAR = 0.85
-#: The cap in the SQL of the near-duplicate queries; near_pairs has none.
-MAX_HOLDERS = 20
 
 
 def exact_duplicates(df: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:

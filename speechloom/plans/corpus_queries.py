@@ -59,8 +59,8 @@ def q_exact_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEAR = (
     f"g AS (SELECT doc_id AS id, {_WORDS.format(t='lower(text)')} AS w FROM documents), sh AS (SELECT id, CASE WHEN len(w) >= 3 THEN {_GRAMS} ELSE [] END AS g FROM g),"
-    f" k AS (SELECT id, unnest(g) AS s FROM sh), rare AS (SELECT s FROM k GROUP BY s HAVING count(*) BETWEEN 2 AND {dedup.MAX_HOLDERS}),"
-    " c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN rare USING (s) JOIN k y ON x.s = y.s AND x.id < y.id),"
+    f" k AS (SELECT id, unnest(g) AS s FROM sh), held AS (SELECT s FROM k GROUP BY s HAVING count(*) > 1),"
+    " c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN held USING (s) JOIN k y ON x.s = y.s AND x.id < y.id),"
     " j AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) AS na, len(y.g) AS nb FROM c JOIN sh x ON x.id = a JOIN sh y ON y.id = b),"
     f" pairs AS (SELECT a, b, shared, shared::DOUBLE / (na + nb - shared) AS jaccard FROM j WHERE shared::DOUBLE / (na + nb - shared) >= {dedup.NEAR})"
 )
@@ -158,10 +158,9 @@ def q_tag_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(F.trim(t)).cast("long").alias("n_chars"))
 
 
-@query(f"WITH {SQL['utt']} SELECT utt_id, md5(regexp_replace(trim(lower(text)), '[ \\t]+', ' ', 'g')) AS normal FROM utt WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query(f"WITH {SQL['utt']} SELECT utt_id, md5(regexp_replace(trim(lower(text)), '[ \\t]+', ' ', 'g')) AS normal FROM utt")
 def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = utterances(spark, sf_dir).where("text not rlike '[^\\\\x00-\\\\x7F]'")
-    return u.select("utt_id", F.md5(T.normalize_ascii(F.col("text"))).alias("normal"))
+    return utterances(spark, sf_dir).select("utt_id", F.md5(T.normalize_ascii(F.col("text"))).alias("normal"))
 
 
 @query()
@@ -216,7 +215,7 @@ def q_seeds_and_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.ordinal(F.col("doc_id")).alias("ordinal"), T.seed_of(F.col("doc_id").cast("string")).cast("string").alias("seed"))
 
 
-@query("SELECT doc_id, (20240000 + doc_id) || '.' || (doc_id % 3) AS version, (doc_id % 10000) // 100 BETWEEN 1 AND 12 AND doc_id % 100 BETWEEN 1 AND 31 AS ok FROM documents WHERE doc_id < 10000")
+@query("SELECT doc_id, d || '.' || ((doc_id % 3 + 3) % 3) AS version, (d % 10000) // 100 BETWEEN 1 AND 12 AND d % 100 BETWEEN 1 AND 31 AS ok FROM (SELECT doc_id, 20240000 + (doc_id % 79760000 + 79760000) % 79760000 AS d FROM documents)")
 def q_dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version check on version strings made from ids: eight digits from 20240000 on, which start anew after 99999999."""
     d = table(spark, sf_dir, "documents").select("doc_id")

@@ -14,15 +14,14 @@ from ..sources.views import LEVELS, SQL, predictions, table, turns
 _W = "list_filter(string_split({t}, ' '), lambda x: x <> '')"
 _TOK = "regexp_extract_all({t}, '[a-z0-9'']+')"
 _NORMAL = "regexp_replace(trim(lower({t})), '[ \\t]+', ' ', 'g')"
-_ASCII = "WHERE NOT regexp_matches(output, '[^\\x00-\\x7F]')"
 _PICK = "array_to_string(list_transform({x}, lambda w: chr((list_position(known, w) + 31)::INTEGER)), '')"
 _ART = " OR ".join(f"starts_with(na, '{p.replace(chr(39), chr(39) * 2)}') OR ends_with(na, '{p.replace(chr(39), chr(39) * 2)}')" for p in T.ARTIFACTS)
 _DUPS = "list_distinct(list_concat([{w}[i] for i in range(1, len({w})) if {w}[i] = {w}[i+1]], [{w}[i] || ' ' || {w}[i+1] for i in range(1, len({w}) - 2) if {w}[i] = {w}[i+2] AND {w}[i+1] = {w}[i+3]]))"
 _RECALL = "CASE WHEN len(te) = 0 THEN 1.0 ELSE list_sum(list_transform(list_distinct(te), lambda x: least(len(list_filter(te, lambda y: y = x)), len(list_filter(ta, lambda y: y = x)))))::DOUBLE / len(te) END"
-#: Scores in SQL, over predictions in ASCII (DuckDB's levenshtein counts bytes).
+#: Scores in SQL; words and characters become ASCII signs by their rank, since DuckDB's levenshtein counts bytes.
 _SCORED = (
     SQL["preds"]
-    + f", p0 AS (SELECT *, {_W.format(t='output')} AS e, {_W.format(t='actual')} AS a, {_NORMAL.format(t='output')} AS ne, {_NORMAL.format(t='actual')} AS na FROM preds {_ASCII})"
+    + f", p0 AS (SELECT *, {_W.format(t='output')} AS e, {_W.format(t='actual')} AS a, {_NORMAL.format(t='output')} AS ne, {_NORMAL.format(t='actual')} AS na FROM preds)"
     + f", p1 AS (SELECT *, list_distinct(list_concat(e, a)) AS known, {_TOK.format(t='ne')} AS te, {_TOK.format(t='na')} AS ta, {_W.format(t='ne')} AS we, {_W.format(t='na')} AS wa FROM p0)"
     + f", scored AS (SELECT utt_id, lang, category, level, combo, output, actual, output = actual AS exact_match, ne = na AS normalized_match,"
     + f" CASE WHEN len(e) = 0 THEN CASE WHEN len(a) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein({_PICK.format(x='e')}, {_PICK.format(x='a')})::DOUBLE / len(e) END AS wer, len(a)::DOUBLE / greatest(1, len(e)) AS token_ratio,"
@@ -33,7 +32,7 @@ _MEANS = "count(*) AS n, " + ", ".join(f"round(avg({m}::INTEGER::DOUBLE), 6) AS
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.scored(predictions(spark, sf_dir).where("output not rlike '[^\\\\x00-\\\\x7F]'"))
+    return metrics.scored(predictions(spark, sf_dir))
 
 
 @query(f"WITH {_SCORED} SELECT utt_id, round(wer, 6) AS wer FROM scored")
@@ -41,9 +40,16 @@ def q_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("utt_id", F.round("wer", 6).alias("wer"))
 
 
-@query(f"WITH {SQL['preds']} SELECT utt_id, round(levenshtein(output, actual)::DOUBLE / length(output), 6) AS cer, round(levenshtein(trim(output), trim(actual))::DOUBLE / length(trim(output)), 6) AS ned FROM preds {_ASCII}")
+_CHARS = "list_distinct(list_concat(string_split(output, ''), string_split(actual, '')))"
+_CODED = "array_to_string(list_transform(string_split({x}, ''), lambda c: chr((list_position(known, c) + 31)::INTEGER)), '')"
+
+
+@query(
+    f"WITH {SQL['preds']}, k AS (SELECT utt_id, output, actual, {_CHARS} AS known FROM preds) SELECT utt_id, round(levenshtein({_CODED.format(x='output')}, {_CODED.format(x='actual')})::DOUBLE / length(output), 6) AS cer,"
+    f" round(levenshtein({_CODED.format(x='trim(output)')}, {_CODED.format(x='trim(actual)')})::DOUBLE / length(trim(output)), 6) AS ned FROM k"
+)
 def q_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = predictions(spark, sf_dir).where("output not rlike '[^\\\\x00-\\\\x7F]'")
+    p = predictions(spark, sf_dir)
     rate = lambda a, b: F.round(T.error_rate(F.levenshtein(a, b), F.length(a), F.length(b) == 0), 6)
     return p.select("utt_id", rate(F.col("output"), F.col("actual")).alias("cer"), rate(F.trim("output"), F.trim("actual")).alias("ned"))
 

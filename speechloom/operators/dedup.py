@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,13 +19,17 @@ def exact_duplicates(df: DataFrame, keys: list[str], order: list[str], id_col: s
     return df.select(F.col(id_col), F.row_number().over(w).alias("rn"), F.lag(id_col).over(w).alias("duplicate_of")).where("rn > 1").drop("rn")
 
 
-def near_pairs(df: DataFrame, id_col: str, text: Column, least: float = NEAR) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None) -> DataFrame:
     """a < b, shared, jaccard of 3-word shingles: all pairs of at least ``least``.
 
     Rows of equal shingles form a class. Two classes of that Jaccard index share one of the rarest n - ceil(least * n) + 1 shingles
     of each, in one order of all shingles (by holders, then hash), so only these are joined. Shingles travel as 64-bit hashes.
+    Several texts of a row give the union of their shingles. With a group, shingles are hashed with it, so rows of different groups share none.
     """
-    g = df.select(F.col(id_col).alias("id"), F.array_sort(F.transform(T.shingles(T.words(F.lower(text))), lambda x: F.xxhash64(x))).alias("g")).where("size(g) > 0")
+    texts = text if isinstance(text, list) else [text]
+    own = reduce(F.array_union, [T.shingles(T.words(F.lower(t))) for t in texts])
+    hashed = F.transform(own, lambda x: F.xxhash64(x) if group is None else F.xxhash64(group, x))
+    g = df.select(F.col(id_col).alias("id"), F.array_sort(hashed).alias("g")).where("size(g) > 0")
     named = g.groupBy("g").agg(F.min("id").alias("class"))
     members = g.join(named, "g").select("id", "class", F.size("g").alias("n"))
     keyed = named.select("class", F.size("g").alias("n"), F.explode("g").alias("s"))

@@ -18,6 +18,9 @@ LOCATIONS = ("the beach", "the office", "the station", "the library", "the airpo
 TECH = ("Postgres", "Kafka", "Docker", "Linux", "Spark", "Python")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+RELATIVE = ("today", "tomorrow", "yesterday")
+PARTS = ("morning", "afternoon", "evening", "night")
+NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "fifty")
 
 
 def _any(values: tuple) -> str:
@@ -28,13 +31,13 @@ def matchers() -> list[tuple[str, re.Pattern]]:
     """Kinds in their order with bounded expressions; names keep their case."""
     i = re.IGNORECASE
     return [
-        ("time", re.compile(r"\b\d{1,2}(?::\d{2})?\s?(?:am|pm)\b|\b\d{1,2}:\d{2}\b|\b(?:noon|midnight)\b", i)),
-        ("date", re.compile(rf"\b(?:{_any(MONTHS)})\s\d{{1,2}}(?:st|nd|rd|th)?\b|\b(?:next\s)?(?:{_any(DAYS)})\b|\b(?:today|tomorrow|yesterday)\b", i)),
+        ("time", re.compile(r"\b\d{1,2}(?::\d{2})?\s?(?:am|pm)\b|\b\d{1,2}:\d{2}\b|\b\d{1,2}\so'clock\b|\b(?:half past|quarter past|quarter to)\s\d{1,2}\b|\b(?:noon|midnight)\b", i)),
+        ("date", re.compile(rf"\b(?:{_any(MONTHS)})\s\d{{1,2}}(?:st|nd|rd|th)?\b|\bthe\s\d{{1,2}}(?:st|nd|rd|th)\sof\s(?:{_any(MONTHS)})\b|\b(?:(?:next|this)\s(?:{_any(DAYS)})|(?:{_any(DAYS)})(?:\s(?:{_any(PARTS)}))?)\b|\b(?:{_any(RELATIVE)})\b", i)),
         ("name", re.compile(rf"\b(?:{_any(NAMES)})(?:\s[A-Z][a-z]+)?\b")),
         ("item", re.compile(rf"\b(?:{_any(ITEMS)})s?\b", i)),
         ("location", re.compile(rf"\b(?:{_any(LOCATIONS)})\b", i)),
         ("tech", re.compile(rf"\b(?:{_any(TECH)})\b", i)),
-        ("number", re.compile(r"\$\d+(?:\.\d{2})?|\b\d+(?:\.\d+)*(?:\s?percent|%)?\b", i)),
+        ("number", re.compile(rf"\$\d+(?:\.\d{{2}})?|\b\d+(?:\.\d+)*(?:\s?percent|%)?\b|\b(?:{_any(NUMBER_WORDS)})\b", i)),
     ]
 
 

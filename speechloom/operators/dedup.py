@@ -60,13 +60,19 @@ def holdout_guard(rows: DataFrame, holdout: DataFrame, on: list[str]) -> DataFra
 
 
 def stratified_split(df: DataFrame, stratum: str, id_col: str, test: float = 0.05, val: float = 0.10, seed: int = 42) -> DataFrame:
-    """split by rank of md5(seed:id) in its stratum; sizes are rounded half to even, at least one row for the test."""
-    s = W.partitionBy(stratum)
-    rank = F.row_number().over(s.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col))
-    n = F.count("*").over(s)
-    n_test = F.greatest(F.lit(1.0), F.bround(F.lit(test) * n, 0))
-    n_val = F.bround(F.lit(val) * n, 0)
-    return df.select(id_col, stratum, F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "validation").otherwise("train").alias("split"))
+    """split by rank of md5(seed:id) in its stratum; sizes are rounded half to even, at least one row for the test.
+
+    Rows are ranked within 65,536 ranges of the hash, shifted by the counts of the ranges before, so no task holds a stratum.
+    """
+    d = df.select(id_col, stratum, F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("__h")).withColumn("__b", F.substring("__h", 1, 4))
+    s = W.partitionBy("__s")
+    counts = d.groupBy(F.col(stratum).alias("__s"), F.col("__b").alias("__k")).agg(F.count("*").alias("c"))
+    places = counts.select("__s", "__k", F.coalesce(F.sum("c").over(s.orderBy("__k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("c").over(s).alias("__n"))
+    ranked = d.join(places, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__k")))
+    rank = F.row_number().over(W.partitionBy(stratum, "__b").orderBy("__h", id_col)) + F.col("__start")
+    n_test = F.greatest(F.lit(1.0), F.bround(F.lit(test) * F.col("__n"), 0))
+    n_val = F.bround(F.lit(val) * F.col("__n"), 0)
+    return ranked.select(id_col, stratum, F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "validation").otherwise("train").alias("split"))
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

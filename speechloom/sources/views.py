@@ -25,8 +25,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible single lines: capital first letter, 3 to 60 words, first occurrence of a text."""
     u = lines(spark, sf_dir).withColumn("words", F.size(T.words(F.col("text"))))
     u = u.where("text rlike '^[A-Z]' and words between 3 and 60")
-    first = W.partitionBy("text").orderBy("doc_id", "line_no")
-    u = u.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    first = u.groupBy("text").agg(F.min(F.struct("doc_id", "line_no", "lang", "source", "words")).alias("f"))  # summed before the shuffle, however common a line is
+    u = first.select("f.doc_id", "f.lang", "f.source", "f.line_no", "text", "f.words")
     return u.withColumn("utt_id", F.concat_ws("-", "doc_id", "line_no"))
 
 

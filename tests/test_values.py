@@ -73,3 +73,16 @@ def test_near_pairs_by_group(spark):
 
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] and len(grams(a) & grams(b)) >= 0.85 * len(grams(a) | grams(b))}
     assert got == want and want
+
+
+def test_split_of_one_large_stratum(spark):
+    import hashlib
+
+    ids = [f"r{i}" for i in range(3000)]
+    d = spark.createDataFrame([(i, "a" if k % 10 else None) for k, i in enumerate(ids)], "id string, s string")
+    got = {r.id: r.split for r in dedup.stratified_split(d, "s", "id").collect()}
+    assert len(got) == 3000
+    for part in ([i for k, i in enumerate(ids) if k % 10], ids[::10]):
+        ranked = sorted(part, key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+        n, v = round(0.05 * len(part)), round(0.1 * len(part))
+        assert [got[i] for i in ranked] == ["test"] * n + ["validation"] * v + ["train"] * (len(part) - n - v)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 PERCENTS = (0.25, 0.50, 0.75, 0.90, 0.99)
 
 
@@ -34,3 +36,25 @@ def overfit(history: DataFrame, step: str, value: str, drop: float = 0.05) -> Da
     """evals, peak, last and whether the last value fell more than drop below the peak (three evaluations at least)."""
     d = history.agg(F.count("*").alias("evals"), F.max(value).alias("peak"), F.max_by(value, step).alias("last"))
     return d.withColumn("overfit", (F.col("evals") >= 3) & (F.col("last") < F.col("peak") - drop))
+
+
+#: What an audited value looks like in any text: fixed values.
+AUDITED = (
+    r"(?i)\b[0-9]+(?:[.,][0-9]+)?\b",
+    r"(?i)\b(?:mon|tue|wed|thu|fri|sat|sun)\w*day\b",
+    r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\b",
+    r"(?i)\b[0-9]{1,2}:[0-9]{2}\s*(?:am|pm)?\b",
+    r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b",
+)
+#: Accented Latin letters: parts of words, but of none of the classes above.
+ACCENTED = "[À-ÖØ-öø-ɏ]"
+
+
+def eps_inferred(said: Column, answer: Column) -> Column:
+    """(n, lost): values found in the input without any declaration, and how many of them miss a word in the answer."""
+    plain = lambda c: F.regexp_replace(c, ACCENTED, "_")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9']+"), F.lit(0))
+    found = F.flatten(F.array(*[F.regexp_extract_all(plain(said), F.lit(p), F.lit(0)) for p in AUDITED]))
+    values = F.array_distinct(F.transform(found, lambda v: F.trim(F.lower(v))))
+    lost = T.let(words(plain(answer)), lambda out: F.size(F.filter(values, lambda v: F.size(F.array_except(words(v), out)) > 0)))
+    return F.struct(F.size(values).alias("n"), lost.alias("lost"))

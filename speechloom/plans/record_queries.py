@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.constants import DISTRACT_MARKERS, DISTRACTORS, FILLERS, HEDGES, LABELS, MARKERS_EASY, MARKERS_HARD, MARKERS_MEDIUM, RESTARTS, TRANSFORMS
 from ..operators import entities as E
-from ..operators import gates, inject
+from ..operators import audit, gates, inject
 from ..registry import query
 from ..sources.views import CATEGORIES, COMBOS, SQL, predictions, table, turns, utterances
 from . import build, quota
@@ -230,6 +230,22 @@ def q_eps_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("category", (F.size(F.array_intersect(e, T.words(F.col("actual")))) / F.size(e)).alias("x")).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("eps"))
 
 
+_PLAIN = f"regexp_replace({{t}}, '{audit.ACCENTED}', '_', 'g')"
+_FOUND = "list_distinct(list_transform(flatten([" + ", ".join(f"regexp_extract_all({_PLAIN.format(t='input')}, '{p}')" for p in audit.AUDITED) + "]), lambda v: trim(lower(v))))"
+_LOST = "len(list_filter(vals, lambda v: len(list_filter(regexp_extract_all(v, '[a-z0-9'']+'), lambda w: NOT list_contains(heard, w))) > 0))"
+
+
+@query(
+    f"WITH {SQL['preds']}, f AS (SELECT category, {_FOUND} AS vals, regexp_extract_all(lower({_PLAIN.format(t='actual')}), '[a-z0-9'']+') AS heard FROM preds), l AS (SELECT category, len(vals) AS n, {_LOST} AS lost FROM f)"
+    " SELECT category, count(*) AS n, sum(CASE WHEN lost > 0 THEN 1 ELSE 0 END)::BIGINT AS losing, round(avg(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE (n - lost)::DOUBLE / n END), 6) AS eps FROM l GROUP BY category"
+)
+def q_eps_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the values seen in the input that the answer keeps, over all rows."""
+    x = predictions(spark, sf_dir).select("category", audit.eps_inferred(F.col("input"), F.col("actual")).alias("e"))
+    share = F.when(F.col("e.n") == 0, 1.0).otherwise((F.col("e.n") - F.col("e.lost")) / F.greatest(F.col("e.n"), F.lit(1)))
+    return x.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.when(F.col("e.lost") > 0, 1).otherwise(0)).alias("losing"), F.round(F.avg(share), 6).alias("eps"))
+
+
 @query(f"WITH {SQL['utt']}, v AS (SELECT DISTINCT w FROM (SELECT unnest({_W.format(t='text')}) AS w FROM utt WHERE source = 'src1')), o AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct({_W.format(t='text')})) AS w FROM utt WHERE source <> 'src1') GROUP BY w) SELECT count(*) AS vocabulary, count(o.w) AS covered, sum(CASE WHEN coalesce(n, 0) < 5 THEN 1 ELSE 0 END)::BIGINT AS below_floor FROM v LEFT JOIN o USING (w)")
 def q_vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir).select("source", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))

@@ -86,3 +86,18 @@ def test_split_of_one_large_stratum(spark):
         ranked = sorted(part, key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
         n, v = round(0.05 * len(part)), round(0.1 * len(part))
         assert [got[i] for i in ranked] == ["test"] * n + ["validation"] * v + ["train"] * (len(part) - n - v)
+
+
+def test_values_of_a_text_are_kept(spark):
+    from speechloom.operators import audit
+
+    rows = [
+        ("Meet Ada on Friday at 10:30 am.", "meet ada on friday at 10:30 am", (5, 0)),  # meet ada, friday, 10, 30, 10:30 am
+        ("the 3.5 kilos in march", "3 kilos in March", (2, 1)),
+        ("nothing here", "", (0, 0)),
+        ("Zoé danse", "", (0, 0)),  # an accented letter is part of its word
+        (None, "x", None),
+    ]
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string").select(audit.eps_inferred(F.col("a"), F.col("b")).alias("e"))
+    got = [tuple(r.e) for r in d.collect()]
+    assert got[1:4] == [w for *_, w in rows[1:4]] and got[0] == rows[0][2]

@@ -628,6 +628,17 @@ def test_components_of_a_chain(spark):
     assert connected_components(spark, d.limit(0)).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Hubs above the bound of 1,000 rows, linked to one another through a chain, beside pairs of their own."""
+    edges = [(0, i) for i in range(1, 1500)] + [(5000, i) for i in range(5001, 7500)] + [(1499, 8000), (8000, 8001), (8001, 7499)]
+    edges += [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(50)]
+    d = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in connected_components(spark, d).collect()}
+    assert len(got) == 1500 + 2500 + 2 + 100
+    assert {k for k, v in got.items() if v == 0} == {k for k in got if k < 10_000}
+    assert all(v == (k if k % 2 == 0 else k - 1) for k, v in got.items() if k >= 20_000)
+
+
 # --- 10
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import written
+from .storage import with_groups, written
 
 MIN_COSINE = 0.98
 #: Rows that a bucket holds about at most, if vectors are spread evenly: more vectors get keys of more rotations.
@@ -237,8 +237,8 @@ def near_duplicates(spark: SparkSession, table: DataFrame) -> DataFrame:
     sums = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("far"))
     comps = connected_components(spark, found.where("v is not null").select("u", "v"))
     named = classes.select("digest", "rep", "least", "n").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    low = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(low, "root").join(sums, "rep", "left").select("digest", "component", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    named = with_groups(spark, named, "root", ["rep"], [F.min("least").alias("component")], "true")
+    named = named.join(sums, "rep", "left").select("digest", "component", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
     out = good.select("vec_id", "digest").join(named, "digest").select("vec_id", "links", "component")
     alone = ids.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     out = out.union(alone)

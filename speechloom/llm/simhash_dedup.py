@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import written
+from .storage import with_groups, written
 
 SHINGLE = 3
 SEED = 42
@@ -91,8 +91,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     fps = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     comps = connected_components(spark, links(spark, fps))
     groups = fps.join(comps, fps.fp == comps.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = groups.join(least, "root").select("fp", "component_id")
+    named = with_groups(spark, groups, "root", ["fp"], [F.min("rep").alias("component_id")], "true").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -94,6 +94,19 @@ def filler_count(t: Column) -> Column:
     return F.regexp_count(F.lower(t), F.lit(f"\\b(?:{bank})\\b"))
 
 
+def word_in(word: str, t: Column) -> Column:
+    """Whether the word stands in the text with no ASCII letter right before or after it; not in a null text."""
+    return F.coalesce(t.rlike(f"(?<![A-Za-z])\\Q{word}\\E(?![A-Za-z])"), F.lit(False))
+
+
+def marker_between(t: Column, abandoned: Column, kept: Column) -> Column:
+    """What stands between the first ``abandoned`` and the next ``kept`` after it, without blanks, commas and hyphens around it; null if either is missing."""
+    at = F.position(abandoned, t)
+    end = at + F.length(abandoned)
+    to = F.position(kept, t, end)
+    return F.when((at > 0) & (to > 0), F.btrim(F.substr(t, end, to - end), F.lit(" ,-")))
+
+
 def has_artifact(normal: Column) -> Column:
     return F.exists(F.array(*[F.lit(p) for p in ARTIFACTS]), lambda p: F.startswith(normal, p) | F.endswith(normal, p))
 

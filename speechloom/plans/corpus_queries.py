@@ -222,3 +222,24 @@ def q_dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.lit(20240000) + F.pmod(F.col("doc_id"), F.lit(79760000))
     v = F.concat(date.cast("string"), F.lit("."), F.pmod(F.col("doc_id"), F.lit(3)).cast("string"))
     return d.select("doc_id", v.alias("version"), T.version_ok(v).alias("ok"))
+
+
+COMMON = ("the", "in", "to", "data", "a")
+
+
+@query("SELECT doc_id, " + " + ".join(f"coalesce(regexp_matches(text, '(^|[^A-Za-z]){w}($|[^A-Za-z])'), false)::BIGINT" for w in COMMON) + " AS n_words FROM documents")
+def q_word_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a few short words stand whole in each text."""
+    found = [T.word_in(w, F.col("text")).cast("long") for w in COMMON]
+    return table(spark, sf_dir, "documents").select("doc_id", sum(found[1:], found[0]).alias("n_words"))
+
+
+@query(
+    f"WITH {SQL['utt']}, p AS (SELECT utt_id, text, split_part(text, ' ', 1) AS a, regexp_extract(text, '[^ ]+$') AS b FROM utt),"
+    " q AS (SELECT utt_id, substr(text, strpos(text, a) + length(a)) AS rest, b FROM p)"
+    " SELECT utt_id, CASE WHEN strpos(rest, b) > 0 THEN trim(rest[:strpos(rest, b) - 1], ' ,-') END AS marker FROM q"
+)
+def q_marker_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between the first word of an utterance and the next occurrence of its last one."""
+    first, last = F.substring_index("text", " ", 1), F.regexp_extract("text", "[^ ]+$", 0)
+    return utterances(spark, sf_dir).select("utt_id", T.marker_between(F.col("text"), first, last).alias("marker"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import metrics
 from ..registry import query
+from ..sources import io
 from ..sources.views import LEVELS, SQL, predictions, table, turns
 
 _W = "list_filter(string_split({t}, ' '), lambda x: x <> '')"
@@ -94,8 +95,7 @@ def q_failure_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SCORED} SELECT bucket, utt_id, actual FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY utt_id) AS rn FROM bucketed WHERE bucket IS NOT NULL) WHERE rn <= 20")
 def q_failure_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = metrics.bucket(_scored(spark, sf_dir)).where("bucket is not null")
-    return b.withColumn("rn", F.row_number().over(W.partitionBy("bucket").orderBy("utt_id"))).where("rn <= 20").select("bucket", "utt_id", "actual")
+    return io.review(metrics.bucket(_scored(spark, sf_dir)), "utt_id").select("bucket", "utt_id", "actual")
 
 
 @query(f"WITH {_SCORED}, m AS (SELECT *, 'model_' || ({{d}} % 3) AS model FROM scored) SELECT model, {_MEANS} FROM m GROUP BY model".replace("{d}", "('0x' || substr(md5('42:' || utt_id || ':model'), 1, 15))::BIGINT"))

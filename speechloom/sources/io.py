@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A training record.
@@ -48,9 +49,15 @@ def write_splits(df: DataFrame, root: str) -> dict:
     return made
 
 
-def write_review(bucketed: DataFrame, path: str) -> None:
-    """At most 20 failures a bucket as CSV."""
-    bucketed.write.option("header", "true").option("quoteAll", "true").csv(path)
+def review(bucketed: DataFrame, order: str, most: int = 20) -> DataFrame:
+    """The first ``most`` rows of every bucket by order; rows without a bucket are no failures. Tasks drop what cannot rank before the shuffle."""
+    ranked = bucketed.where("bucket is not null").withColumn("__rank", F.row_number().over(W.partitionBy("bucket").orderBy(order)))
+    return ranked.where(F.col("__rank") <= most).drop("__rank")
+
+
+def write_review(bucketed: DataFrame, path: str, order: str = "utt_id", most: int = 20) -> None:
+    """At most 20 failures a bucket as CSV, every value quoted."""
+    review(bucketed, order, most).write.option("header", "true").option("quoteAll", "true").csv(path)
 
 
 def recipes_to_json(df: DataFrame) -> DataFrame:

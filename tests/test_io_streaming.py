@@ -46,3 +46,11 @@ def test_stream_scores(spark, tmp_path):
     r = spark.table("w").first()
     assert (r.n, r.exact_match) == (2, 0.5) and abs(r.wer - 1 / 6) < 1e-9
     assert spark.table("w").where(F.col("n") > 2).count() == 0
+
+
+def test_review_keeps_twenty_a_bucket(spark, tmp_path):
+    rows = [(f"u{i:03}", "wer" if i % 3 else "length", f'said "{i}", again') for i in range(90)] + [("u999", None, "fine")]
+    io.write_review(spark.createDataFrame(rows, "utt_id string, bucket string, actual string"), str(tmp_path / "review"))
+    got = spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "review")).collect()
+    assert sorted(r.utt_id for r in got if r.bucket == "length") == [f"u{i:03}" for i in range(0, 60, 3)]
+    assert sum(r.bucket == "wer" for r in got) == 20 and len(got) == 40 and {r.utt_id: r.actual for r in got}["u001"] == 'said "1", again'

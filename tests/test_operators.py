@@ -101,3 +101,10 @@ def test_versions_of_all_ids(spark, tmp_path):
     got = {r.doc_id: (r.version, r.ok) for r in corpus_queries.q_dataset_versions(spark, str(tmp_path)).collect()}
     assert set(got) == set(ids) and got[101] == ("20240101.2", True) and got[10101] == ("20250101.0", True) and got[10000] == ("20250000.1", False)
     assert all(len(v) == 10 for v, _ in got.values()) and got[79760101][0].startswith("20240101.")
+
+
+def test_word_in_and_marker(spark):
+    d = spark.createDataFrame([("the at-noon cat",), ("cattle",), (None,), ("cat2",)], "t string")
+    assert [r[0] for r in d.select(T.word_in("cat", F.col("t"))).collect()] == [True, False, False, True]
+    d = spark.createDataFrame([("Meet at 3, no wait, 5 pm", "3", "5"), ("5 or 3", "3", "5"), ("9 - 9", "9", "9"), ("x", "3", "5")], "t string, a string, k string")
+    assert [r[0] for r in d.select(T.marker_between(F.col("t"), F.col("a"), F.col("k"))).collect()] == ["no wait", None, "", None]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, packing, passages, pii, quality_rules, resample, simhash_dedup, toxicity
-from .storage import small_batches
+from . import byte_bpe, embedding_dedup, fill_middle, language_id, mixing, packing, passages, periodic_runs, pii, quality_rules, resample, simhash_dedup, toxicity
+from .storage import WORD_RE, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that op2's contract names."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file; op2's contract names this one."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +69,52 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_middle.transform(spark, table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    d = periodic_runs.runs(d).withColumn("best", periodic_runs.longest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def repeated_tail(doc_id: Column, text: Column) -> Column:
+    """The text that op12's contract asks for: a tenth of the documents, by a hash of their ids, repeat some of their words to the end."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        repeat = lambda w, n, a, p: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+        bound = F.transform(F.array(F.struct(w.alias("w"), n.alias("n"), a.alias("a"), p.alias("p"))), lambda v: repeat(v["w"], v["n"], v["a"], v["p"]))
+        return F.when(F.size(w) > 0, F.element_at(bound, 1)).otherwise(text)
+
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0)))  # bound once: the lambda would split the text for every word
+    return F.when((h % 10 == 0) & text.isNotNull(), F.element_at(F.transform(words, planted), 1)).otherwise(text)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    d = byte_bpe.decode(spark, byte_bpe.encode(spark, table(spark, sf_dir, "documents"), path), path)
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_passages, op4_quality_rules, op5_embedding_dedup, op6_toxicity, op7_resample, op8_language_id, op9_simhash, op10_pii, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_packing, op3_passages, op4_quality_rules, op5_embedding_dedup, op6_toxicity, op7_resample, op8_language_id, op9_simhash, op10_pii, op11_fill_middle, op12_periodic_runs, op13_byte_bpe, pipeline)}
 
 _WORDS = "list_filter(regexp_split_to_array({t}, '[ \\t-\\r]+'), lambda x: x <> '')"
 _TIGHT = "regexp_replace({t}, '[ \\t-\\r]+', '', 'g')"
@@ -106,4 +145,12 @@ ORACLE_SQL: dict[str, str] = {
         " reach AS (SELECT vec_id AS v, vec_id AS r FROM v UNION SELECT reach.v, l.b FROM reach JOIN l ON reach.r = l.a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)"
         " SELECT vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(r) AS component_id, vec_id = min(r) AS kept FROM v JOIN reach ON v.vec_id = reach.v LEFT JOIN n ON n.a = vec_id GROUP BY vec_id"
     ),
+    "op11_fill_middle": (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),"
+        " a AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),"
+        " b AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:n], '') AS s,"
+        " CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM a)"
+        " SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,"
+        " sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM b"
+    ),
 }

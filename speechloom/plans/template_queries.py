@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bank, pools, templates
+from ..operators import bank, longform, pools, templates
 from ..operators.entities import DAYS, MONTHS, NUMBER_WORDS, PARTS
 from ..registry import query
 from ..sources.views import sql_draw, table
@@ -145,3 +145,39 @@ def q_fill_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = templates.fill(templates.choose(p, bank.template_table(spark)), pools.Pools(bank.lexicon_table(spark)))
     n = F.when(F.col("kept").isNull(), 0).otherwise(F.size(F.filter("kept", lambda x: F.contains("clean", x))))
     return made.select(F.col("key").cast("long").alias("doc_id"), "domain", F.get("required", F.lit(0)).alias("required"), "template_id", "clean", n.alias("n_kept"))
+
+
+_LEVELS = ("easy", "medium", "hard")
+_CASE = lambda values: "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+_WORDS = "len(list_filter(string_split({t}, ' '), lambda x: x <> ''))"
+_LONG = (
+    f"texts AS (SELECT doc_id::VARCHAR AS parent, {quoted(_LEVELS)}[1 + {sql_draw('doc_id', 'level')} % 3] AS level, {quoted(bank.DOMAINS)}[1 + {sql_draw('doc_id', 'domain')} % {len(bank.DOMAINS)}] AS domain FROM documents),"
+    f" units AS (SELECT *, unnest(range({_CASE({k: longform.most(k) for k in _LEVELS})})) AS unit FROM texts), plans AS (SELECT parent || ':u' || unit AS key, parent, level, domain, unit, []::VARCHAR[] AS required FROM units),"
+    f" clause(t, ds) AS (SELECT * FROM {_rows([(t, list(ds)) for t, ds in bank.CLAUSES])}), ranked AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY md5('42:' || key || ':clause:' || t)) AS k FROM plans p JOIN clause c ON len(c.ds) = 0 OR list_contains(c.ds, p.domain)),"
+    f" added AS (SELECT p.key, string_agg(', ' || r.t, '' ORDER BY r.k) AS more FROM plans p JOIN ranked r USING (key) WHERE r.k <= {_CASE(longform.CLAUSES)} + {sql_draw('p.key', 'clauses')} % 2 GROUP BY p.key), {SQL_CHOOSE},"
+    " source AS (SELECT key, regexp_replace(text, '[.?!]$', '') || more || regexp_extract(text, '[.?!]$') AS text, false AS same FROM chosen JOIN added USING (key))"
+)
+_UPPER = "upper({c}[1]) || {c}[2:]"
+_JOINED = (
+    f" conn AS (SELECT parent, list(c.v ORDER BY md5('42:' || parent || ':connective:' || c.v)) AS cs, list(c.c ORDER BY md5('42:' || parent || ':connective:' || c.v)) AS commas FROM texts, (SELECT * FROM {_rows([(c, ',' if m else '') for c, m in bank.CONNECTIVES])} t(v, c)) c GROUP BY parent),"
+    f" ends AS (SELECT parent, level, cs, commas, {quoted(bank.OPENERS)}[1 + {sql_draw('parent', 'opener')} % {len(bank.OPENERS)}] AS opener, {quoted(bank.CLOSERS)}[1 + {sql_draw('parent', 'closer')} % {len(bank.CLOSERS)}] AS closer,"
+    f" {_CASE({k: b[0] for k, b in longform.BOUNDS.items()})} AS lo, {_CASE({k: b[1] for k, b in longform.BOUNDS.items()})} AS hi, {_CASE(longform.SENTENCES)} AS least FROM texts JOIN conn USING (parent)),"
+    f" gather AS (SELECT parent, 0 AS unit, []::VARCHAR[] AS parts, {_WORDS.format(t='closer')} AS words FROM ends UNION ALL"
+    " SELECT parent, unit + 1, CASE WHEN fits THEN list_append(parts, text) ELSE parts END, CASE WHEN fits THEN words + w ELSE words END FROM (SELECT *, (len(parts) < least OR words < lo) AND words + w <= hi AS fits FROM (SELECT *,"
+    f" {_WORDS.format(t='text')} AS w FROM (SELECT g.*, e.lo, e.hi, e.least, CASE WHEN len(g.parts) = 0 THEN e.opener ELSE {_UPPER.format(c='e.cs[len(g.parts)]')} || e.commas[len(g.parts)] END || ' ' || lower(s.clean[1]) || s.clean[2:] AS text"
+    " FROM gather g JOIN ends e USING (parent) JOIN plans p ON p.parent = g.parent AND p.unit = g.unit JOIN clean s ON s.key = p.key)))),"
+    " taken AS (SELECT parent, arg_max(parts, unit) AS parts, arg_max(words, unit) AS words FROM gather GROUP BY parent)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_BANK}, {SQL_POOLS}, {_LONG}, {SQL_FILL} {SQL_DRAWS}, {SQL_CLEAN}, {_JOINED} SELECT parent::BIGINT AS doc_id, level, CASE WHEN ok THEN len(parts) + 1 END::INT AS n_units, CASE WHEN ok THEN array_to_string(parts, ' ') || ' ' || closer END AS clean,"
+    " CASE WHEN ok THEN array_to_string(cs[1:len(parts) - 1], '|') END AS connectives, CASE WHEN ok THEN length(array_to_string(parts, ' ')) + 1 END::BIGINT AS closer_start FROM (SELECT *, words >= lo AND len(parts) >= least AS ok FROM taken JOIN ends USING (parent))"
+)
+def q_longform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long text for every document as a plan, within the words of its level, or null."""
+    k = F.col("doc_id").cast("string")
+    p = table(spark, sf_dir, "documents").select(k.alias("key"), T.pick(k, "level", _LEVELS).alias("level"), T.pick(k, "domain", bank.DOMAINS).alias("domain"))
+    d = longform.compose(p, bank.template_table(spark), pools.Pools(bank.lexicon_table(spark)))
+    said = F.filter(F.transform("units", lambda u: u["connective"]), lambda c: c.isNotNull())
+    return d.select(F.col("key").cast("long").alias("doc_id"), "level", F.when(F.col("units").isNotNull(), F.size("units")).alias("n_units"), "clean", F.array_join(said, "|").alias("connectives"), F.element_at("units", -1)["start"].cast("long").alias("closer_start"))

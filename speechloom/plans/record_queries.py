@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,7 +11,7 @@ from ..operators import entities as E
 from ..operators import audit, gates, inject
 from ..registry import query
 from ..sources.views import CATEGORIES, COMBOS, SQL, predictions, table, turns, utterances
-from . import build, quota
+from . import build
 
 _W = "list_filter(string_split({t}, ' '), lambda x: x <> '')"
 _D = "('0x' || substr(md5('42:' || utt_id || ':{s}'), 1, 15))::BIGINT"
@@ -86,30 +85,6 @@ def q_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.report(turns(spark, sf_dir)).select("conv_id", "turn", F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
-_Q = quota.quotas(15000)
-
-
-@query(
-    "SELECT bucket, source, count(*) AS n, min(i) AS first FROM (SELECT i, bucket, CASE WHEN bucket <> 'formatting' AND i - a < floor((b - a) * 0.85::DOUBLE) THEN 'real' ELSE 'template' END AS source FROM range(15000) t(i) JOIN (VALUES "
-    + ", ".join(f"('{b}', {x}, {y})" for b, x, y in _Q)
-    + ") q(bucket, a, b) ON i >= a AND i < b) GROUP BY ALL"
-)
-def q_quota_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quota.plans(spark, 15000).groupBy("bucket", "source").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-
-
-@query(
-    f"WITH {SQL['utt']}, slots AS (SELECT utt_id, use_no, row_number() OVER (ORDER BY use_no, md5('42:' || utt_id), utt_id) - 1 AS place FROM utt, range(3) u(use_no)), plans AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS place FROM range(1000) t(i))"
-    " SELECT i, utt_id, use_no FROM plans JOIN slots USING (place)"
-)
-def q_plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1,000 real plans with slots (text, use) in rank order; only the first 1,000 slots are ranked, found by a top-k."""
-    slots = utterances(spark, sf_dir).select("utt_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("use_no"))
-    need = slots.withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("utt_id")))).orderBy("use_no", "h", "utt_id").limit(1000)
-    ranked = need.withColumn("place", F.row_number().over(W.orderBy("use_no", "h", "utt_id")) - 1)
-    return spark.range(1000).withColumnRenamed("id", "i").join(ranked, F.col("i") == F.col("place")).select("i", "utt_id", "use_no")
-
-
 _FILL = (
     f"f AS (SELECT utt_id, {_pick('level', ('easy', 'medium', 'hard', 'extreme'))} AS level, {_W.format(t='text')} AS w FROM utt), o AS (SELECT *, list_transform(list_sort([{{'h': md5('42:' || utt_id || ':gap:' || i), 'i': i}} for i in range(1, len(w))]), lambda x: x.i)"
     "[1:CASE level WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END] AS gaps FROM f),"

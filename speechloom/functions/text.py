@@ -16,6 +16,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """A struct as a column that later steps read by ``part``: fields of a plain struct are computed again for every step that reads one."""
+    return F.array(value)
+
+
+def part(column: str, field: str) -> Column:
+    return F.element_at(F.col(column), 1)[field]
+
+
 def words(text: Column) -> Column:
     """Words between single spaces; empty ones are dropped, null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), " "), "")

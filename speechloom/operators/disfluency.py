@@ -42,6 +42,10 @@ def _said(c: Column) -> Column:
     return c.rlike("(?U)^[\\p{L}\\p{N}]")
 
 
+def unedited(text: Column) -> Column:
+    return F.struct(text.alias("text"), F.expr("cast(array() as array<struct<at:int,more:int>>)").alias("edits"))
+
+
 def open_gaps(toks: Column, spans: Column, soft: Column, level: Column) -> Column:
     """Numbers of the tokens after which a filler may stand: the next one is a word, and no span reaches over. Soft spans do not count at the hard level."""
     hit = lambda held, a, b: F.exists(held, lambda s: (a["end"] >= s["start"]) & (b["start"] <= s["end"]))
@@ -90,8 +94,19 @@ def _pick(toks: Column, free: Column, used: Column, key: Column, i: Column) -> C
     return T.let(F.filter(free, lambda x: ~F.array_contains(used, x)), choose)
 
 
+def moved(spans: Column, edits: Column) -> Column:
+    """Spans (start, end) after edits (at, more): what starts at an edit or after it moves on by what the edit adds."""
+    by = lambda s: F.aggregate(F.filter(edits, lambda e: e["at"] <= s["start"]), F.lit(0), lambda a, e: a + e["more"])
+    return F.transform(spans, lambda s: T.let(by(s), lambda n: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end"))))
+
+
 def repetition(text: Column, key: Column, level: Column, spans: Column) -> Column:
     """Text with one to three repetitions of words outside spans; the first token is said twice if there is none."""
+    return repeated(text, key, level, spans)["text"]
+
+
+def repeated(text: Column, key: Column, level: Column, spans: Column) -> Column:
+    """struct<text, edits> of ``repetition``; edits (at, more) are where a repeated part starts and what it adds."""
     def picks(toks: Column, free: Column) -> Column:
         state = F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.expr(f"cast(array() as array<{_PICK}>)").alias("got"))
         more = lambda a, p: F.when(p.isNull(), a).otherwise(F.struct(F.concat(a["used"], F.sequence(p["first"], p["first"] + p["k"] - 1)).alias("used"), F.concat(a["got"], F.array(p)).alias("got")))
@@ -104,12 +119,13 @@ def repetition(text: Column, key: Column, level: Column, spans: Column) -> Colum
             own = F.array_join(F.transform(F.slice(toks, p["first"] + 1, p["k"]), lambda x: x["token"]), " ")
             part = F.substr(own, F.lit(1), (F.pmod(draw_at(key, "rep.part", p["first"]), F.lit(2)) + 1).cast("int"))
             new = F.when(p["form"] == "stutter", F.concat(part, F.lit("-"), own)).when(p["form"] == "clause", F.concat(own, F.lit(", "), own)).otherwise(F.concat(own, F.lit(" "), own))
-            return F.concat(F.substr(t, F.lit(1), start), new, F.substr(t, end + 1))
+            done = F.concat(F.substr(t["text"], F.lit(1), start), new, F.substr(t["text"], end + 1))
+            return F.struct(done.alias("text"), F.concat(t["edits"], F.array(F.struct(start.alias("at"), (F.length(new) - (end - start)).alias("more")))).alias("edits"))
 
-        return F.aggregate(F.reverse(F.array_sort(got)), text, say)
+        return F.aggregate(F.reverse(F.array_sort(got)), unedited(text), say)
 
     def run(toks: Column) -> Column:
         free = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda x: T.let(F.get(toks, x), lambda t: _said(t["token"]) & ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))))
-        return F.when(F.size(toks) > 0, T.let(free, lambda free: T.let(picks(toks, free), lambda got: rebuilt(toks, got)))).otherwise(text)
+        return F.when(F.size(toks) > 0, T.let(free, lambda free: T.let(picks(toks, free), lambda got: rebuilt(toks, got)))).otherwise(unedited(text))
 
     return T.let(tokens(text), run)

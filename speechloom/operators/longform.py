@@ -82,11 +82,11 @@ def compose(plans: DataFrame, template_table: DataFrame, pools: Pools, bounds: d
     bounds = bounds or BOUNDS
     lo, hi = (_by_level(F.col("level"), {k: b[i] for k, b in bounds.items()}) for i in (0, 1))
     least, closer = _by_level(F.col("level"), SENTENCES), T.pick(F.col("key"), "closer", bank.CLOSERS)
-    p = sentences(plans, template_table, pools).withColumn("__g", gathered(F.col("said"), F.col("key"), least, lo, hi, closer)).drop("said")
-    parts = F.concat(F.col("__g.parts"), F.array(F.struct(closer.alias("text"), F.lit(None).cast("string").alias("connective"))))
+    p = sentences(plans, template_table, pools).withColumn("__g", T.once(gathered(F.col("said"), F.col("key"), least, lo, hi, closer))).drop("said")
+    parts = F.concat(T.part("__g", "parts"), F.array(F.struct(closer.alias("text"), F.lit(None).cast("string").alias("connective"))))
     none = F.expr("cast(array() as array<struct<text:string,start:int,end:int,connective:string>>)")
     end = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"] + 1, F.lit(0))
     unit = lambda acc, x: F.struct(x["text"].alias("text"), end(acc).alias("start"), (end(acc) + F.length(x["text"])).alias("end"), x["connective"].alias("connective"))
-    whole = (F.col("__g.words") >= lo) & (F.size("__g.parts") >= least)
+    whole = (T.part("__g", "words") >= lo) & (F.size(T.part("__g", "parts")) >= least)
     p = p.withColumn("units", F.when(whole, F.aggregate(parts, none, lambda acc, x: F.concat(acc, F.array(unit(acc, x))))))
     return p.withColumn("clean", F.array_join(F.transform("units", lambda u: u["text"]), " ")).drop("__g")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bank
 from ..operators.bank import DOMAINS
+from ..operators.pools import Pools
 from ..registry import query
+from ..sources.io import RECORD
+from ..sources.shared import cut
 from ..sources.views import SQL, sql_draw, table, utterances
-from . import allocate, reuse
+from . import allocate, generate, reuse
 from .quota import RATIOS
 from .template_queries import quoted
 
@@ -140,3 +144,40 @@ def q_plan_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = utterances(spark, sf_dir).select(F.col("utt_id").alias("text_id"), "words", F.lit(0).alias("kinds"))
     p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit(False).alias("identity"), F.lit(False).alias("needs_value"))
     return reuse.match(p, texts).select(F.col("key").alias("i"), F.col("text_id").alias("utt_id"), "use_no")
+
+
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the benchmark as outputs that no record may have."""
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("t")).select(F.trim("t").alias("output"))
+
+
+def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every document as a plan: real ones say utterances, others templates and formatting commands."""
+    texts = utterances(spark, sf_dir).select("utt_id", "text")
+    real, _ = matched(spark, sf_dir)
+    plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts, "utt_id", "left").drop("id", "i", "utt_id", "place")
+    return generate.compile_records(plans, bank.template_table(spark), Pools(bank.lexicon_table(spark)), holdout(spark, sf_dir))
+
+
+@query()
+def q_compile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records in their schema, with split and key; tests check the gates, q_compile_summary the counts."""
+    names = [c.name for c in spark.createDataFrame([], RECORD).schema]
+    return compiled(spark, sf_dir).select(*names, "split", "plan")
+
+
+@query(
+    f"WITH {_BUCKETS} SELECT bucket, count(*) AS planned, count(*) FILTER (WHERE source = 'real') AS planned_real, true AS most_made, true AS split_by_rule, true AS once, true AS not_held_out, true AS real_within_plans FROM plans GROUP BY bucket"
+)
+def q_compile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans by bucket, and what must hold of their records: nine in ten made, splits of the stated sizes, no pair of input and output twice, none held out, real texts for real plans only."""
+    p = bucket_plans(spark, sf_dir)
+    planned = p.groupBy("bucket").agg(F.count("*").alias("planned"), F.count(F.when(F.col("source") == "real", 1)).alias("planned_real"))
+    r = cut(compiled(spark, sf_dir).select("bucket", "source", "split", "output", generate.pair_key().alias("pair")))
+    hits = r.join(holdout(spark, sf_dir).distinct(), "output", "left_semi").groupBy("bucket").agg(F.count("*").alias("hits"))
+    pairs = r.groupBy("bucket", "pair").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max("n").alias("most"))
+    of = lambda name: F.count(F.when(F.col("split") == name, 1)).alias(name)
+    got = r.groupBy("bucket").agg(F.count("*").alias("made"), F.count(F.when(F.col("source") == "real", 1)).alias("made_real"), of("test"), of("validation"))
+    d = planned.join(got, "bucket", "left").join(hits, "bucket", "left").join(pairs, "bucket", "left")
+    sized = (F.col("test") == F.greatest(F.lit(1.0), F.bround(F.col("made") * 0.05, 0))) & (F.col("validation") == F.bround(F.col("made") * 0.10, 0))
+    return d.select("bucket", "planned", "planned_real", (F.col("made") >= 0.9 * F.col("planned")).alias("most_made"), sized.alias("split_by_rule"), (F.col("most") == 1).alias("once"), F.col("hits").isNull().alias("not_held_out"), (F.col("made_real") <= F.col("planned_real")).alias("real_within_plans"))

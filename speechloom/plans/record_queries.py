@@ -11,7 +11,6 @@ from ..operators import entities as E
 from ..operators import audit, gates, inject
 from ..registry import query
 from ..sources.views import CATEGORIES, COMBOS, SQL, predictions, table, turns, utterances
-from . import build
 
 _W = "list_filter(string_split({t}, ' '), lambda x: x <> '')"
 _D = "('0x' || substr(md5('42:' || utt_id || ':{s}'), 1, 15))::BIGINT"
@@ -228,9 +227,3 @@ def q_vocab_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = u.where("source <> 'src1'").groupBy("w").agg(F.count("*").alias("n"))
     j = v.join(o, "w", "left")
     return j.agg(F.count("*").alias("vocabulary"), F.count("n").alias("covered"), F.sum(F.when(F.coalesce("n", F.lit(0)) < 5, 1).otherwise(0)).alias("below_floor"))
-
-
-@query()
-def q_compile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training records compiled from all utterances: plans, noise, gates, hold-out, duplicates, splits."""
-    return build.compile_records(utterances(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("t")).select(F.trim("t").alias("output")))

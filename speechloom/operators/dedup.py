@@ -19,12 +19,13 @@ def exact_duplicates(df: DataFrame, keys: list[str], order: list[str], id_col: s
     return df.select(F.col(id_col), F.row_number().over(w).alias("rn"), F.lag(id_col).over(w).alias("duplicate_of")).where("rn > 1").drop("rn")
 
 
-def near_pairs(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None) -> DataFrame:
-    """a < b, shared, jaccard of 3-word shingles: all pairs of at least ``least``.
+def near_classes(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None, changed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (id, class, n shingles), arrays (g, class) and near (u < v, shared, jaccard): the pairs of classes of at least ``least``.
 
-    Rows of equal shingles form a class. Two classes of that Jaccard index share one of the rarest n - ceil(least * n) + 1 shingles
+    Rows of equal shingles form a class, named by its smallest id. Two classes of that Jaccard index share one of the rarest n - ceil(least * n) + 1 shingles
     of each, in one order of all shingles (by holders, then hash), so only these are joined. Shingles travel as 64-bit hashes.
     Several texts of a row give the union of their shingles. With a group, shingles are hashed with it, so rows of different groups share none.
+    With changed (id), only pairs with a class that holds one of these are looked for.
     """
     texts = text if isinstance(text, list) else [text]
     own = reduce(F.array_union, [T.shingles(T.words(F.lower(t))) for t in texts])
@@ -37,18 +38,41 @@ def near_pairs(df: DataFrame, id_col: str, text: Column | list[Column], least: f
     order = W.partitionBy("class").orderBy("df", "s")
     prefix = keyed.join(held, "s").withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1).where("df > 1")
     x, y = (prefix.select("s", F.col("class").alias(c), F.col("n").alias(f"n{c}")) for c in "uv")
-    candidates = x.join(y, "s").where(F.col("u") < F.col("v")).where(F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-6).select("u", "v").distinct()
+    met = F.col("u") < F.col("v")
+    if changed is not None:
+        new = members.join(changed.select(F.col("id")), "id", "left_semi").select(F.col("class").alias("u"))
+        x, met = x.join(new, "u", "left_semi"), F.col("u") != F.col("v")
+    candidates = x.join(y, "s").where(met).where(F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-6).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     ends = candidates.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     arrays = named.join(ends, "class", "left_semi")  # arrays of classes with a candidate only
     both = candidates.join(arrays.select(F.col("class").alias("u"), F.col("g").alias("hu")), "u").join(arrays.select(F.col("class").alias("v"), F.col("g").alias("hv")), "v")
     both = both.withColumn("shared", F.size(F.array_intersect("hu", "hv"))).withColumn("jaccard", F.col("shared") / (F.size("hu") + F.size("hv") - F.col("shared")))
-    near = both.where(F.col("jaccard") >= least).select("u", "v", "shared", "jaccard")
+    return members, named, both.where(F.col("jaccard") >= least).select("u", "v", "shared", "jaccard")
+
+
+def near_pairs(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None) -> DataFrame:
+    """a < b, shared, jaccard of 3-word shingles: all pairs of at least ``least``, from pairs of classes (``near_classes``)."""
+    members, _, near = near_classes(df, id_col, text, least, group)
     p, q = members.select(F.col("id").alias("p"), F.col("class").alias("u"), "n"), members.select(F.col("id").alias("q"), F.col("class").alias("v"))
     across = near.join(p.drop("n"), "u").join(q, "v").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "jaccard")
     within = p.join(q, F.col("u") == F.col("v")).where("p < q").select(F.col("p").alias("a"), F.col("q").alias("b"), F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
     return across.union(within)
 
 
+def near_offenders(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None) -> DataFrame:
+    """id of every row that has a near one: members of a class of two or more, or of one with a near class. No pair of rows is made."""
+    members, _, near = near_classes(df, id_col, text, least, group)
+    full = members.groupBy("class").agg(F.count("*").alias("c")).where("c > 1").select("class")
+    return members.join(full.union(near.select(F.explode(F.array("u", "v")))).distinct(), "class", "left_semi").select("id")
+
+
+def near_later(df: DataFrame, id_col: str, text: Column | list[Column], least: float = NEAR, group: Column | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """id of every row that has a near one with a smaller id; what is left without them has no near pair. No pair of rows is made."""
+    members, _, near = near_classes(df, id_col, text, least, group, changed)
+    first = near.groupBy(F.col("v").alias("class")).agg(F.min("u").alias("other"))  # a class is named by its smallest id
+    return members.join(first, "class", "left").where((F.col("id") != F.col("class")) | F.col("other").isNotNull()).select("id")
+
+
 def offenders(pairs: DataFrame) -> DataFrame:
     """Both ends of every pair, once."""
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

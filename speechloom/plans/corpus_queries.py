@@ -78,7 +78,7 @@ def q_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_near_dup_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    o = dedup.offenders(dedup.near_pairs(d, "doc_id", F.col("text"))).select(F.col("id").alias("doc_id"), F.lit(1).alias("hit"))
+    o = dedup.near_offenders(d, "doc_id", F.col("text")).select(F.col("id").alias("doc_id"), F.lit(1).alias("hit"))
     g = d.select("doc_id", "source").join(o, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count("hit").alias("offenders"))
     return g.withColumn("rate", F.round(F.col("offenders") / F.col("n"), 6))
 

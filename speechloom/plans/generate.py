@@ -6,6 +6,7 @@ so its draws are its own. Candidates are gated where they are made, and one aggr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,7 +98,40 @@ def finished(rows: DataFrame) -> DataFrame:
     return r.join(dedup.stratified_split(r, "bucket", "id").select("id", "split"), "id")
 
 
-def compile_records(plans: DataFrame, template_table: DataFrame, pools: Pools, holdout: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
-    """Records of all plans, none in the hold-out (output), none twice. Candidates and records are kept in checkpoints, since each is read more than once."""
-    made = cut(records(cut(candidates(cut(plans), template_table, pools, attempts))))
+def signature() -> Column:
+    """What near duplicates are looked for within: category, template and entities of a record."""
+    values = F.flatten(F.array(*[F.col(f"entities.{k}s") for k in E.KINDS]))
+    return F.concat_ws("\t", "category", F.coalesce("template_id", F.lit("")), F.array_join(F.array_sort(values), "|"))
+
+
+def regenerate(made: DataFrame, remake: Callable[[DataFrame, str], DataFrame], rounds: int = 3) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Records of which none is near an earlier one of its signature, and (made again, without a new record, dropped at the end) of each round.
+
+    The later one of a near pair is made again by remake (plans, suffix of their new keys). After the first round only pairs with a new record are looked for, among all. What is still near
+    after the last round is dropped. Each round's records are kept in a checkpoint.
+    """
+    counts, changed = [], None
+    texts, group = [F.col("input"), F.col("output")], signature()
+    for k in range(rounds + 1):
+        late = cut(dedup.near_later(made, "plan", texts, group=group, changed=changed).withColumnRenamed("id", "plan"))
+        n = late.count()
+        if n == 0:
+            break
+        kept = made.join(late, "plan", "left_anti")
+        if k == rounds:
+            made = cut(kept)
+            counts.append((0, 0, n))
+            break
+        new = cut(remake(late, f"n{k}"))
+        counts.append((n, n - new.count(), 0))
+        made, changed = cut(kept.unionByName(new)), new.select(F.col("plan").alias("id"))
+    return made, counts
+
+
+def compile_records(plans: DataFrame, template_table: DataFrame, pools: Pools, holdout: DataFrame, attempts: int = ATTEMPTS, rounds: int = 3) -> DataFrame:
+    """Records of all plans: none near another of its signature, none in the hold-out (output), none twice. Candidates and records are kept in checkpoints, since each is read more than once."""
+    plans = cut(plans)
+    make = lambda p, suffix: records(cut(candidates(p, template_table, pools, attempts, suffix)))
+    made = cut(make(plans, ""))
+    made, _ = regenerate(made, lambda late, suffix: make(plans.join(late.select(F.col("plan").alias("key")), "key", "left_semi"), suffix), rounds)
     return finished(cut(unique(dedup.holdout_guard(made, holdout, ["output"]))))

@@ -152,11 +152,11 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of every document as a plan: real ones say utterances, others templates and formatting commands."""
+    """Records of every document as a plan: real ones say utterances, others templates and formatting commands. Near duplicates are made again once, then dropped."""
     texts = utterances(spark, sf_dir).select("utt_id", "text")
     real, _ = matched(spark, sf_dir)
     plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts, "utt_id", "left").drop("id", "i", "utt_id", "place")
-    return generate.compile_records(plans, bank.template_table(spark), Pools(bank.lexicon_table(spark)), holdout(spark, sf_dir))
+    return generate.compile_records(plans, bank.template_table(spark), Pools(bank.lexicon_table(spark)), holdout(spark, sf_dir), rounds=1)
 
 
 @query()

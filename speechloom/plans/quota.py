@@ -1,10 +1,7 @@
-"""Quotas to plans: rounding half to even, and a bucket for every plan by its place in the cumulative quota."""
+"""Quotas of buckets: rounding half to even, cumulative."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 RATIOS = (("noop", 0.20), ("simple", 0.15), ("correction", 0.25), ("compositional", 0.30), ("formatting", 0.10))
 REAL = 0.85
 
@@ -20,20 +17,3 @@ def quotas(total: int, ratios: tuple = RATIOS) -> list[tuple[str, int, int]]:
         out.append((b, at, at + n[b]))
         at += n[b]
     return out
-
-
-def plans(spark: SparkSession, total: int, ratios: tuple = RATIOS) -> DataFrame:
-    """i, bucket, place in the bucket and source of every plan; a CASE over the few quotas, no join."""
-    q = quotas(total, ratios)
-
-    def choose(f) -> Column:
-        c = None
-        for row in q:
-            test = F.col("i") < row[2]
-            c = F.when(test, f(row)) if c is None else c.when(test, f(row))
-        return c
-
-    d = spark.range(total).withColumnRenamed("id", "i")
-    d = d.select("i", choose(lambda r: F.lit(r[0])).alias("bucket"), choose(lambda r: F.col("i") - r[1]).alias("place"), choose(lambda r: F.lit(r[2] - r[1])).alias("n"))
-    real = (F.col("bucket") != "formatting") & (F.col("place") < F.floor(F.col("n") * F.lit(REAL)))
-    return d.select("i", "bucket", "place", F.when(real, "real").otherwise("template").alias("source"))

@@ -158,4 +158,4 @@ _G = "[array_to_string({w}[i:i + 2], ' ') for i in range(1, len({w}) - 1)]"
 def q_near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose shingles of input and output are near another's in the same group (here: category and language)."""
     p = predictions(spark, sf_dir)
-    return dedup.offenders(dedup.near_pairs(p, "utt_id", [F.col("input"), F.col("output")], group=F.concat_ws("\t", "category", "lang")))
+    return dedup.near_offenders(p, "utt_id", [F.col("input"), F.col("output")], group=F.concat_ws("\t", "category", "lang"))

@@ -1,8 +1,9 @@
 """Raw documents to packed training sequences, in five stages. Each stage's result is written as Parquet and reread.
 
-Cases, in every stage: a null text counts as empty and quality drops it; rows without a doc_id pass near_duplicates and count as any other; repeated
-rows and copies leave one of them; a very long text is read whole, and cut in pieces only by pack; ties fall as each operator states; an empty
-table gives an empty result; other columns than text (and n_chars, which follows it) are carried as they are, whatever their names.
+Cases, in every stage: a null text counts as empty and quality drops it; rows without a doc_id count as any other; repeated rows and copies
+leave one of them, that of the smallest doc_id, where there is one; a very long text is read whole, and cut in pieces only by pack; ties fall as
+each operator states; an empty table gives an empty result; other columns than text (and n_chars, which follows it) are carried as they are, whatever their
+names.
 
 STAGES: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 ORACLE_SQL is None: the packing and the extraction of personal data are not expressible in SQL.

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints by 3-word shingles, links found through shared blocks.
 
 Cases: null or wordless text has fingerprint zero and is linked like any other; null doc_id rows get a
-fingerprint but never name a component unless all of its rows are null; repeated rows stay repeated (``dedup`` keeps one);
-ties of a bit's votes give 0; very long texts are read whole, their shingles summed in parts; an empty table gives no rows; extra
+fingerprint but never name a component unless all of its rows are null; repeated rows stay repeated (``dedup`` keeps one,
+whether rows repeat, lack a doc_id or share one with other texts); ties of a bit's votes give 0; very long texts are read whole, their shingles summed in parts; an empty table gives no rows; extra
 columns are ignored, whatever their names.
 """
 
@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import with_groups, written
+from .storage import Table, release, with_groups, with_rows, written
 
 SHINGLE = 3
 SEED = 42
@@ -49,14 +49,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+        kept = [n for n in b.schema.names if n != "text"]
+        yield pa.record_batch([*(b.column(n) for n in kept), pa.array(fps)], names=[*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_prints, "doc_id long, fp long")
+def _digest(docs: DataFrame) -> Column:
+    """The 16 bytes by which ``dedup`` knows a text; a null one is empty, as its fingerprint is."""
+    return F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; with the digest of its text between them if asked."""
+    more = [_digest(docs).alias("digest")] if digest else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_prints, "doc_id long, digest binary, fp long" if digest else "doc_id long, fp long")
 
 
 def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
@@ -85,23 +92,40 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
     return near.union(star)
 
 
+def _components(spark: SparkSession, fps: DataFrame, named_by: str) -> DataFrame:
+    """The rows of fps (one a print) with the least value of the column named_by in their component, as component."""
+    comps = connected_components(spark, links(spark, fps.select("fp")))
+    groups = fps.join(comps, fps.fp == comps.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+    return with_groups(spark, groups, "root", ["fp"], [F.min(named_by).alias("component")], "true").drop("root")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable by links) of every row."""
     prints = written(spark, fingerprints(docs))
-    fps = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = connected_components(spark, links(spark, fps))
-    groups = fps.join(comps, fps.fp == comps.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = with_groups(spark, groups, "root", ["fp"], [F.min("rep").alias("component_id")], "true").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("__n")))
+    named = written(spark, _components(spark, fps, "rep").select("fp", "__n", F.col("component").alias("component_id")))
+    return with_rows(prints, named, "fp", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, in its columns, whose doc_id names their component: one of each group. Rows without a doc_id stay.
+    """One row of docs of each group, in its columns: that of the smallest doc_id (none counts as greatest), then of the least digest of its text.
 
-    Of equal texts under one doc_id one row stays, whichever; only rows whose doc_id occurs again are shuffled for that.
+    Rows equal in doc_id and text are one, whichever; only those that repeat are aggregated for that, in part before their shuffle.
     """
-    names = near_duplicates(spark, docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"))
-    have = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__d"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.col("text").cast("string")).alias("__text"))
-    stay = have.join(names, F.col("__id") == F.col("__kept"))
-    once = stay.where("__n > 1").dropDuplicates(["__id", "__text"])
-    return stay.where("__n = 1").select("__d.*").union(once.select("__d.*")).union(have.where("__id is null").select("__d.*"))
+    prints = Table(spark, fingerprints(docs, digest=True).groupBy("doc_id", "digest", "fp").agg(F.count("*").alias("n")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    fps = written(spark, prints.df.groupBy("fp").agg(F.min(first).alias("first"), F.sum("n").alias("rows")))
+    keepers = _components(spark, fps, "first").where("first = component").select("fp", F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest"))
+    same = (prints.df.fp == keepers.fp) & prints.df.doc_id.eqNullSafe(keepers.kept_id) & (prints.df.digest == keepers.kept_digest)
+    # more than one in 10,000 of all rows (so 10,000 such at most): known by broadcast and never gathered by their key
+    often = max(1000, (prints.df.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    found = prints.df.join(keepers, same, "left").select("doc_id", "digest", "n", F.col("kept_digest").isNotNull().alias("stays"))
+    table = written(spark, found.where((F.col("n") > often) | F.col("stays")).toDF("__kid", "__ktext", "__n", "__stays"))
+    prints.drop()
+    release(spark)
+    have = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__d"), F.col("doc_id").cast("long").alias("__id"), _digest(docs).alias("__text"))
+    on = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__text") == F.col("__ktext"))
+    hot, cold = F.broadcast(table.where(F.col("__n") > often)), table.where(F.col("__n") <= often)
+    rare = have.join(hot, on, "left_anti").join(cold, on)
+    several = have.join(hot, on).where("__stays").select(*have.columns).union(rare.where("__n > 1").select(*have.columns)).dropDuplicates(["__id", "__text"])
+    return rare.where("__n = 1").select("__d.*").union(several.select("__d.*"))

@@ -74,6 +74,14 @@ def with_groups(spark: SparkSession, rows: DataFrame, key: str, spread: list[str
     """
     groups = written(spark, rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates).where(keep))
     release(spark)
+    return with_rows(rows, groups, key, spread)
+
+
+def with_rows(rows: DataFrame, groups: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """rows with the columns of their row in groups: a written table of the long column key, __n (the rows that have it) and others.
+
+    Rows whose key is not in groups go. Keys with more than one in 10,000 of the rows of groups are joined by broadcast, as above.
+    """
     names = [c for c in groups.columns if c not in (key, "__n")]
     total = groups.agg(F.sum("__n")).first()[0] or 0
     hot = groups.where(F.col("__n") > max(1000, total // 10_000)).select(F.col(key).alias("__hot"), F.struct(*names).alias("__h"))

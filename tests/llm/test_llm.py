@@ -616,7 +616,24 @@ def test_near_duplicates_of_odd_input(spark):
 
 def test_dedup_keeps_one_of_repeated_rows(spark):
     d = spark.createDataFrame([(1, "t u v w"), (1, "t u v w"), (2, "t u v w"), (3, "other words here"), (None, "t u v w")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in simhash_dedup.dedup(spark, d).collect()) == [(0, "t u v w"), (1, "t u v w"), (3, "other words here")]
+    assert sorted((r.doc_id, r.text) for r in simhash_dedup.dedup(spark, d).collect()) == [(1, "t u v w"), (3, "other words here")]
+
+
+def test_dedup_by_row_where_an_id_has_two_texts(spark):
+    d = spark.createDataFrame([(0, "t u v w"), (1, "t u v w"), (1, "other words here and more")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash_dedup.dedup(spark, d).collect()) == [(0, "t u v w"), (1, "other words here and more")]
+    d = spark.createDataFrame([(None, "t u v w"), (None, "T U v w"), (None, None), (None, ""), (None, "other words here and more")], "doc_id long, text string")
+    kept = [(r.text or "").lower() for r in simhash_dedup.dedup(spark, d).collect()]
+    assert sorted(kept) == ["", "other words here and more", "t u v w"]
+
+
+def test_dedup_of_rows_repeated_beyond_the_broadcast_bound(spark):
+    rows = [(5, "a b c d")] * 1500 + [(None, "e f g h")] * 1200 + [(7, "i j k l")] + [(None, "i j k l")] * 1100 + [(9 + i, "m n o p") for i in range(1300)] + [(3, f"one {i} two") for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash_dedup.dedup(spark, d).collect())
+    assert [k for k in kept if k[0] != 3] == [(0, "e f g h"), (5, "a b c d"), (7, "i j k l"), (9, "m n o p")] and len(kept) == 9
+    named = collections.Counter(r.component_id for r in simhash_dedup.near_duplicates(spark, d).collect())
+    assert named == {5: 1500, None: 1200, 7: 1101, 9: 1300, 3: 5}
 
 
 def test_components_of_a_chain(spark):

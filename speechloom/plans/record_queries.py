@@ -163,26 +163,49 @@ def q_entity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_entity_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fixture(spark).select("id", F.to_json(E.inventory(F.col("spans"))).alias("inventory"))
+    """Canonical values by kind of the fixture and of every utterance."""
+    u = utterances(spark, sf_dir).select(F.col("utt_id").alias("id"), "text").withColumn("spans", E.resolve(E.candidates("text")))
+    both = _fixture(spark).select(F.col("id").cast("string").alias("id"), "spans").union(u.select("id", "spans"))
+    return both.select("id", F.to_json(E.inventory(F.col("spans"))).alias("inventory"))
+
 
+_HAS = "contains(lower({t}), lower({v}))"
+_KEPT = f"CASE WHEN kept = '' THEN '' WHEN kept = later THEN CASE WHEN {_HAS.format(t='actual', v='kept')} THEN 'superseded-survived' ELSE '' END WHEN NOT {_HAS.format(t='actual', v='kept')} THEN 'kept-missing' ELSE '' END"
+_GONE = f"CASE WHEN {_HAS.format(t='actual', v='gone')} AND NOT {_HAS.format(t='output', v='gone')} THEN 'abandoned-survived' ELSE '' END"
 
-@query("SELECT * FROM (VALUES (0, 'kept-missing'), (1, ''), (2, 'superseded-survived,abandoned-survived'), (3, 'abandoned-survived'), (4, '')) t(id, failures)")
+
+@query(
+    f"WITH {SQL['preds']}, w AS (SELECT utt_id, actual, output, {_W.format(t='output')} AS w, {_D.format(s='chain')} % 3 AS chain FROM preds),"
+    " c AS (SELECT utt_id, actual, output, 0 AS i, 'Here' AS gone, w[1] AS kept, CASE WHEN chain > 0 THEN w[1] END AS later FROM w UNION ALL SELECT utt_id, actual, output, 1, w[1], CASE chain WHEN 1 THEN w[len(w)] ELSE '' END, NULL FROM w WHERE chain > 0),"
+    f" f AS (SELECT utt_id, i, {_KEPT} AS a, {_GONE} AS b FROM c)"
+    " SELECT utt_id, coalesce(string_agg(v, ',' ORDER BY i, j) FILTER (v <> ''), '') AS failures FROM (SELECT utt_id, i, 0 AS j, a AS v FROM f UNION ALL SELECT utt_id, i, 1, b FROM f) GROUP BY utt_id"
+)
 def q_corrections_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (0, [("Ada", "Hana")], "Call someone.", "Call Hana."),
-        (1, [("Ada", "Hana")], "Call Hana.", "Call Hana."),
-        (2, [("Ada", "Hana"), ("Hana", "Jun")], "Call Hana and Jun.", "Call Jun."),
-        (3, [("Ada", "Hana")], "Call Ada, Hana.", "Call Hana."),
-        (4, [("Ada", "")], "Call.", "Call."),
-    ]
-    d = spark.createDataFrame(rows, "id int, c array<struct<abandoned:string,kept:string>>, actual string, expected string")
-    return d.select("id", F.array_join(E.correction_failures(F.col("c"), F.col("actual"), F.col("expected")), ",").alias("failures"))
-
-
-@query("SELECT * FROM (VALUES (0, 'hana', 'hanna', 1), (1, NULL, NULL, NULL), (2, 'kafka', 'kafko', 1)) t(id, missing, found, distance)")
+    """Of every prediction: one correction to the first word, in two of three rows taken back for the last word or for nothing."""
+    p = predictions(spark, sf_dir).withColumn("w", T.words(F.col("output"))).withColumn("chain", F.pmod(T.draw(F.col("utt_id"), "chain"), F.lit(3)))
+    step = lambda gone, kept: F.struct(gone.alias("abandoned"), kept.alias("kept"))
+    first = F.get("w", F.lit(0))
+    more = F.when(F.col("chain") > 0, F.array(step(first, F.when(F.col("chain") == 1, F.element_at("w", -1)).otherwise("")))).otherwise(F.expr("cast(array() as array<struct<abandoned:string,kept:string>>)"))
+    c = p.select("utt_id", "actual", "output", F.concat(F.array(step(F.lit("Here"), first)), more).alias("c"))
+    return c.select("utt_id", F.array_join(E.correction_failures(F.col("c"), F.col("actual"), F.col("output")), ",").alias("failures"))
+
+
+_LONG = "list_distinct(regexp_extract_all(lower({t}), '[a-z]{{6,}}'))"
+
+
+@query(
+    f"WITH {SQL['preds']}, v AS (SELECT utt_id, {_LONG.format(t='output')} AS e, list_distinct(list_transform({_LONG.format(t='actual')}, lambda x: CASE {_D.format(s='typo')} % 3 WHEN 0 THEN x ELSE 'q' || x[2:length(x) - ({_D.format(s='typo')} % 3 - 1)] END)) AS a FROM preds),"
+    " m AS (SELECT utt_id, missing, unnest(a) AS found FROM (SELECT utt_id, unnest(list_filter(e, lambda x: NOT list_contains(a, x))) AS missing, a FROM v)),"
+    " b AS (SELECT utt_id, min({'distance': levenshtein(missing, found)::INT, 'missing': missing, 'found': found}) AS n FROM m WHERE levenshtein(missing, found) <= 2 GROUP BY utt_id)"
+    " SELECT utt_id, n.missing AS missing, n.found AS found, n.distance AS distance FROM v LEFT JOIN b USING (utt_id)"
+)
 def q_nearest_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(0, ["hana", "jun"], ["hanna", "jun"]), (1, ["ada"], ["zzzz"]), (2, ["kafka"], ["kafko", "kofko"])], "id int, e array<string>, a array<string>")
-    return d.select("id", E.nearest(F.col("e"), F.col("a")).alias("n")).select("id", "n.missing", "n.found", "n.distance")
+    """Long words of the expected text as entities; in two of three answers each is spelt wrong, once or twice."""
+    wrong = F.pmod(T.draw(F.col("utt_id"), "typo"), F.lit(3)).cast("int")
+    long = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), 0))
+    p = predictions(spark, sf_dir).select("utt_id", long("output").alias("e"), long("actual").alias("a"), wrong.alias("wrong"))
+    spelt = F.transform("a", lambda x: F.when(F.col("wrong") == 0, x).otherwise(F.concat(F.lit("q"), F.substring(x, F.lit(2), F.length(x) - F.col("wrong")))))
+    return p.select("utt_id", E.nearest(F.col("e"), F.array_distinct(spelt)).alias("n")).select("utt_id", "n.missing", "n.found", "n.distance")
 
 
 @query(

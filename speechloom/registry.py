@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import corpus_queries, disfluency_queries, metric_queries, plan_queries, record_queries, score_queries, template_queries, value_queries  # noqa: E402, F401
+from .plans import corpus_queries, disfluency_queries, metric_queries, plan_queries, record_queries, score_queries, span_queries, template_queries, value_queries  # noqa: E402, F401

@@ -14,6 +14,11 @@ from . import metrics
 
 #: Buckets in order of priority: fixed values.
 BUCKETS = ("correction_resolution", "repetition_removal", "hallucination", "entity_corruption", "information_deletion", "formatting_failure", "long_context_failure", "verbosity", "partial_rewrite", "punctuation_only")
+#: What records to add where a bucket fills.
+ADVICE = (
+    "corrections of several words and of several entities, with other markers", "repeated phrases and clauses", "records that must stay as they are", "pairs of entities that differ by little",
+    "records to preserve, and longer answers", "other wordings of the formatting commands", "long forms", "answers that hold the text alone", "records without a change", "records that change signs only",
+)
 METRICS = (
     "exact_match", "normalized_match", "wer", "cer", "token_ratio", "entity_preservation", "correction_resolution",
     "hallucination_flag", "verbosity_flag", "artifact_flag", "formatting_ok", "preservation_ok", "compositional_pass",
@@ -130,3 +135,17 @@ def bucket(s: DataFrame) -> DataFrame:
         .when(~c("normalized_match") & (c("token_recall") >= 0.9), "partial_rewrite")
     )
     return s.withColumn("bucket", kind)
+
+
+def failure_report(bucketed: DataFrame) -> DataFrame:
+    """A row for each of the ten buckets in order, also without failures: n, its share of all records, all failures and their share, advice where n > 0.
+
+    An empty table gives zeros. Only counts by bucket leave the tasks, eleven at most.
+    """
+    counts = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
+    all_rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("failures"))
+    entry = lambda i, b: F.struct(F.lit(i).alias("place"), F.lit(b).alias("name"), F.lit(ADVICE[i]).alias("text"))
+    ten = all_rows.select("records", "failures", F.explode(F.array(*[entry(i, b) for i, b in enumerate(BUCKETS)])).alias("b"))
+    n, share = F.coalesce("n", F.lit(0)), lambda x: F.when(F.col("records") == 0, 0.0).otherwise(x / F.greatest("records", F.lit(1)))
+    j = ten.join(counts, F.col("b.name") == F.col("bucket"), "left")
+    return j.select("b.place", F.col("b.name").alias("bucket"), n.alias("n"), share(n).alias("share"), "records", "failures", share(F.col("failures")).alias("failure_rate"), F.when(n > 0, F.col("b.text")).alias("advice"))

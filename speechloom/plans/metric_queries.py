@@ -93,6 +93,17 @@ def q_record_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("utt_id", "bucket", F.array_join("correction_failures", ",").alias("failures"), F.array_join("hallucinated", ",").alias("hallucinated"))
 
 
+@query(
+    f"WITH {_RECORDS}, k AS (SELECT {_BUCKET} AS bucket FROM rec), c AS (SELECT bucket, count(*) AS n FROM k GROUP BY bucket), t AS (SELECT count(*) AS records, count(bucket) AS failures FROM k),"
+    f" b(place, name, text) AS (VALUES {', '.join(map(str, zip(range(10), record_metrics.BUCKETS, record_metrics.ADVICE, strict=True)))})"
+    " SELECT place, name AS bucket, coalesce(n, 0) AS n, round(coalesce(n, 0) / records, 6) AS share, records, failures, round(failures / records, 6) AS failure_rate, CASE WHEN n > 0 THEN text END AS advice FROM b CROSS JOIN t LEFT JOIN c ON c.bucket = b.name"
+)
+def q_failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the ten buckets, zeros included, with shares and advice."""
+    r = record_metrics.failure_report(record_metrics.bucket(record_metrics.scored(records(spark, sf_dir))))
+    return r.withColumns({"share": F.round("share", 6), "failure_rate": F.round("failure_rate", 6)})
+
+
 #: Kinds of pairs that the gate query makes of utterances, one for each reason code and one that passes.
 MADE = ("good", "no_input", "short_output", "modified", "entity_lost", "changed", "unrealized", "unexpected", "incomplete", "identical", "missing", "too_long", "expanded", "one_item", "not_a_list", "not_a_heading")
 

@@ -71,7 +71,7 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
 
     Small buckets compare pairs. In a larger one each print emits itself and its 64 one-bit neighbours: two
     prints differ in at most two bits exactly if they share such a key, so the holders of a key are linked
-    to the smallest of them. Both ways are exact; rows grow with the prints, not with their square.
+    to the smallest of them. Both ways are exact; rows grow with the prints, not with their square. No table that grows with them is broadcast, since that would pass the driver.
     """
     keys = []
     for i in range(BLOCKS):
@@ -80,22 +80,22 @@ def links(spark: SparkSession, fps: DataFrame) -> DataFrame:
             keys.append(F.struct(F.lit(4 * i + j).alias("c"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).alias("k")))
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.c", "b.k")
     sizes = keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = written(spark, keyed.join(sizes, ["c", "k"]))
+    crowded = written(spark, keyed.join(sizes.hint("merge"), ["c", "k"]))  # here and below: files are small for their rows, and Spark would broadcast them by that
     few = crowded.where(F.col("n") <= PAIRWISE)
     a, b = few.select("c", "k", F.col("fp").alias("u")), few.select("c", "k", F.col("fp").alias("v"))
-    near = a.join(b, ["c", "k"]).where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
+    near = a.join(b.hint("merge"), ["c", "k"]).where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
     bits = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - ((1 << 64) if i == 63 else 0)).cast("long") for i in range(64)])
     many = crowded.where(F.col("n") > PAIRWISE).select("fp").distinct()
     ball = many.select("fp", F.explode(bits).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("key"))
     hub = ball.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    star = ball.join(hub, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    star = ball.join(hub.hint("merge"), "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return near.union(star)
 
 
 def _components(spark: SparkSession, fps: DataFrame, named_by: str) -> DataFrame:
     """The rows of fps (one a print) with the least value of the column named_by in their component, as component."""
     comps = connected_components(spark, links(spark, fps.select("fp")))
-    groups = fps.join(comps, fps.fp == comps.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+    groups = fps.join(comps.hint("merge"), fps.fp == comps.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
     return with_groups(spark, groups, "root", ["fp"], [F.min(named_by).alias("component")], "true").drop("root")
 
 
@@ -119,13 +119,13 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     same = (prints.df.fp == keepers.fp) & prints.df.doc_id.eqNullSafe(keepers.kept_id) & (prints.df.digest == keepers.kept_digest)
     # more than one in 10,000 of all rows (so 10,000 such at most): known by broadcast and never gathered by their key
     often = max(1000, (prints.df.agg(F.sum("n")).first()[0] or 0) // 10_000)
-    found = prints.df.join(keepers, same, "left").select("doc_id", "digest", "n", F.col("kept_digest").isNotNull().alias("stays"))
+    found = prints.df.join(keepers.hint("merge"), same, "left").select("doc_id", "digest", "n", F.col("kept_digest").isNotNull().alias("stays"))
     table = written(spark, found.where((F.col("n") > often) | F.col("stays")).toDF("__kid", "__ktext", "__n", "__stays"))
     prints.drop()
     release(spark)
     have = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__d"), F.col("doc_id").cast("long").alias("__id"), _digest(docs).alias("__text"))
     on = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__text") == F.col("__ktext"))
     hot, cold = F.broadcast(table.where(F.col("__n") > often)), table.where(F.col("__n") <= often)
-    rare = have.join(hot, on, "left_anti").join(cold, on)
+    rare = have.join(hot, on, "left_anti").join(cold.hint("merge"), on)
     several = have.join(hot, on).where("__stays").select(*have.columns).union(rare.where("__n > 1").select(*have.columns)).dropDuplicates(["__id", "__text"])
     return rare.where("__n = 1").select("__d.*").union(several.select("__d.*"))

@@ -603,6 +603,13 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, pairwise):
     assert classes((e.u, e.v) for e in edges) == classes((a, b) for i, a in enumerate(signed) for b in signed[:i] if close(a, b))
 
 
+def test_links_broadcast_no_table_of_prints(spark):
+    rng = random.Random(12)
+    signed = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    plan = simhash_dedup.links(spark, spark.createDataFrame([(p,) for p in signed], "fp long"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_of_odd_input(spark):
     got = simhash_dedup.near_duplicates(spark, odd_docs(spark)).collect()
     by = collections.defaultdict(set)

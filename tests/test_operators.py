@@ -108,3 +108,34 @@ def test_word_in_and_marker(spark):
     assert [r[0] for r in d.select(T.word_in("cat", F.col("t"))).collect()] == [True, False, False, True]
     d = spark.createDataFrame([("Meet at 3, no wait, 5 pm", "3", "5"), ("5 or 3", "3", "5"), ("9 - 9", "9", "9"), ("x", "3", "5")], "t string, a string, k string")
     assert [r[0] for r in d.select(T.marker_between(F.col("t"), F.col("a"), F.col("k"))).collect()] == ["no wait", None, "", None]
+
+
+def test_near_links_of_copies_and_near_texts(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(3, 120))]
+        for i in range(6):
+            t = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts[100 * k + i] = " ".join(t)
+    texts |= {9000 + i: texts[0] for i in range(300)}  # 301 copies: 45,150 pairs
+    grams = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    first = {}
+    for i in sorted(grams):
+        first.setdefault(frozenset(grams[i]), i)
+    reps = sorted(first.values())
+    near = {(a, b) for a in reps for b in reps if a < b and len(grams[a] & grams[b]) >= dedup.NEAR * len(grams[a] | grams[b])}
+    copies = {(first[frozenset(g)], i) for i, g in grams.items() if first[frozenset(g)] != i}
+    got = dedup.near_links(spark.createDataFrame(list(texts.items()), "id long, t string"), "id", F.col("t")).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(near | copies) and len(near) > 20
+
+
+def test_near_classes_store_sets_once(spark):
+    d = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(200))) for i in range(50)], "id long, t string")
+    members, near = dedup.near_classes(d, "id", F.col("t"))
+    assert members.count() == 50 and near.count() == 0
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # a stored table: later reads repeat no search

@@ -34,7 +34,10 @@ def _attempts(plans: DataFrame, branch: int, name: str, attempts: int) -> DataFr
 
 
 def candidates(plans: DataFrame, template_table: DataFrame, pools: Pools, attempts: int = ATTEMPTS, suffix: str = "") -> DataFrame:
-    """plans (of ``allocate``, with text where a real one is assigned) as candidates with clean, said, kept, template_id, format and the source they come from."""
+    """plans (of ``allocate``, with text where a real one is assigned) as candidates with clean, said, kept, template_id, format and the source they come from.
+
+    Plans that are made again (with a suffix) get formatting commands in detail: there are too few plain ones for many plans.
+    """
     null = F.lit(None).cast("string")
     shaped = lambda d, clean, said, kept, tid, fmt, source: d.select(
         *[c for c in plans.columns if c not in ("key", "source", "text", "domain")], "plan", "key", "rank", F.when(F.lit(source == "real"), "everyday").otherwise(F.col("domain")).alias("domain"),
@@ -50,7 +53,7 @@ def candidates(plans: DataFrame, template_table: DataFrame, pools: Pools, attemp
     long = _attempts(plans.where("longform"), 1, f"l{suffix}", attempts).withColumn("level", F.col("difficulty"))
     long = longform.compose(long.drop("text"), template_table, pools).where("clean is not null")
     long = shaped(long, F.col("clean"), F.col("clean"), none, null, no_format, "template")
-    told = _attempts(plans.where("formatting and not longform and not preservation"), 1, f"f{suffix}", attempts).withColumn("c", T.once(V.command(F.col("key"))))
+    told = _attempts(plans.where("formatting and not longform and not preservation"), 1, f"f{suffix}", attempts).withColumn("c", T.once(V.command(F.col("key"), detail=bool(suffix))))
     told = shaped(told, T.part("c", "output"), T.part("c", "input"), none, null, F.struct(T.part("c", "type").alias("type"), T.part("c", "items").alias("items")), "template")
     return reduce(DataFrame.unionByName, (made, long, told), real)
 

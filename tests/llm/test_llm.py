@@ -264,6 +264,25 @@ def test_fuzzy_passages_of_the_stated_similarity(spark):
     assert sum(linked(i) for i in like) >= 0.95 * len(like)
 
 
+def test_template_of_many_holders_without_exact_passage(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(80)]
+    rows = []
+    for k in range(80):  # every twentieth word is the text's own: no 50 words are equal, and seeds have about 60 holders
+        own = [word() if i % 20 == k % 20 else w for i, w in enumerate(base)]
+        rows.append((k, " ".join([*(word() for _ in range(20)), *own, *(word() for _ in range(20))])))
+    got = passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.component_id for r in got} == {0} and all(r.n_passages == 1 for r in got)
+
+
+def test_seeds_of_many_windows_are_all_met(spark):
+    rows = [(i, "seed", 7, 10, None, 40, 1 if i < 39 else 2, i, None) for i in range(40)]
+    d = spark.createDataFrame(rows, "row long, kind string, key long, at int, to int, n long, before int, after int, within long")
+    got = {(r.a, r.b) for r in passages.matches(d).collect()}
+    assert got == {(i, j) for i in range(39) for j in range(i + 1, 39)}  # a bound of 32 gave none
+
+
 def test_fuzzy_copy_of_a_frequent_passage(spark):
     """A passage that more texts hold than are joined all with all, and two that hold it with changes."""
     rng = random.Random(22)

@@ -51,8 +51,10 @@ _CODED = "array_to_string(list_transform(string_split({x}, ''), lambda c: chr((l
 )
 def q_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = predictions(spark, sf_dir)
-    rate = lambda a, b: F.round(T.error_rate(F.levenshtein(a, b), F.length(a), F.length(b) == 0), 6)
-    return p.select("utt_id", rate(F.col("output"), F.col("actual")).alias("cer"), rate(F.trim("output"), F.trim("actual")).alias("ned"))
+    rate = lambda a, b: F.round(T.error_rate(T.edit_distance(a, b), F.length(a), F.length(b) == 0), 6)
+    d = p.select("utt_id", "output", "actual", rate(F.col("output"), F.col("actual")).alias("cer"))
+    same = (F.col("output") == F.trim("output")) & (F.col("actual") == F.trim("actual"))  # nothing to trim: the distance is known
+    return d.select("utt_id", "cer", F.when(same, F.col("cer")).otherwise(rate(F.trim("output"), F.trim("actual"))).alias("ned"))
 
 
 @query(f"WITH {SQL['turns']}, t AS (SELECT conv_id, turn, {_TOK.format(t='lower(input)')} AS te, {_TOK.format(t='lower(output)')} AS ta FROM turns) SELECT conv_id, turn, round({_RECALL}, 6) AS recall FROM t")

@@ -1,6 +1,7 @@
 """Rules of single operators on small fixtures."""
 
 import random
+import time
 import unicodedata
 
 import pytest
@@ -139,3 +140,30 @@ def test_near_classes_store_sets_once(spark):
     assert members.count() == 50 and near.count() == 0
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan  # a stored table: later reads repeat no search
+
+
+def test_edit_distance_is_levenshtein(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé𝄞 ") for _ in range(n))
+    rows = [("", ""), ("", "ab"), (None, "a"), ("a", None), ("Ab" * 40, "ab" * 40)]
+    for _ in range(300):
+        a = word(rng.randrange(60))
+        b = rng.choice([word(rng.randrange(60)), a + word(3), word(3) + a, a[2:], a[:-2], a[:9] + word(2) + a[12:], a[:20] + word(18) + a[20:]])
+        rows.append((a, b))
+    d = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.edit_distance(F.col("a"), F.col("b")).alias("got"), F.levenshtein("a", "b").alias("want"))
+    assert [r for r in d.collect() if r.got != r.want] == []
+
+
+def test_edit_distance_of_long_near_texts_is_not_quadratic(spark):
+    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(12_000))
+    rows = [(long, f"{i} {long}") for i in range(10)] + [(long, long[: 900 * i] + "XY" + long[900 * i + 2 :]) for i in range(1, 11)]
+    d = spark.createDataFrame(rows, "a string, b string").coalesce(1).cache()
+    d.count()
+
+    def took(e) -> float:
+        began = time.perf_counter()
+        d.select(F.sum(e)).collect()
+        return time.perf_counter() - began
+
+    assert took(T.edit_distance(F.col("a"), F.col("b"))) < took(F.levenshtein("a", "b")) / 2
+    d.unpersist()

@@ -96,7 +96,7 @@ def scored(records: DataFrame) -> DataFrame:
         (c("output") == c("actual")).alias("exact_match"),
         (c("ne") == c("na")).alias("normalized_match"),
         T.error_rate(T.word_errors(c("__e"), c("__a")), F.size("__e"), F.size("__a") == 0).alias("wer"),
-        T.error_rate(F.levenshtein("output", "actual"), F.length("output"), F.length("actual") == 0).alias("cer"),
+        T.error_rate(T.edit_distance(c("output"), c("actual")), F.length("output"), F.length("actual") == 0).alias("cer"),
         (F.size("__a") / F.greatest(F.lit(1), F.size("__e"))).alias("token_ratio"),
         F.when(F.size("expected_canon") == 0, 1.0).otherwise(F.size(kept) / F.size("expected_canon")).alias("entity_preservation"),
         correction_failures(c("corrections"), c("na"), c("actual_canon"), c("ne"), c("expected_canon")).alias("correction_failures"),
@@ -143,9 +143,10 @@ def failure_report(bucketed: DataFrame) -> DataFrame:
     An empty table gives zeros. Only counts by bucket leave the tasks, eleven at most.
     """
     counts = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
-    all_rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("failures"))
+    named = F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))  # the buckets met, ten at most
+    # rows are bucketed once: a join of the counts with the ten names would filter by the bucket and so compute all metrics again
+    all_rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("failures"), F.map_from_entries(named).alias("by"))
     entry = lambda i, b: F.struct(F.lit(i).alias("place"), F.lit(b).alias("name"), F.lit(ADVICE[i]).alias("text"))
-    ten = all_rows.select("records", "failures", F.explode(F.array(*[entry(i, b) for i, b in enumerate(BUCKETS)])).alias("b"))
-    n, share = F.coalesce("n", F.lit(0)), lambda x: F.when(F.col("records") == 0, 0.0).otherwise(x / F.greatest("records", F.lit(1)))
-    j = ten.join(counts, F.col("b.name") == F.col("bucket"), "left")
-    return j.select("b.place", F.col("b.name").alias("bucket"), n.alias("n"), share(n).alias("share"), "records", "failures", share(F.col("failures")).alias("failure_rate"), F.when(n > 0, F.col("b.text")).alias("advice"))
+    ten = all_rows.select("records", "failures", "by", F.explode(F.array(*[entry(i, b) for i, b in enumerate(BUCKETS)])).alias("b"))
+    n, share = F.coalesce(F.try_element_at("by", F.col("b.name")), F.lit(0)), lambda x: F.when(F.col("records") == 0, 0.0).otherwise(x / F.greatest("records", F.lit(1)))
+    return ten.select("b.place", F.col("b.name").alias("bucket"), n.alias("n"), share(n).alias("share"), "records", "failures", share(F.col("failures")).alias("failure_rate"), F.when(n > 0, F.col("b.text")).alias("advice"))

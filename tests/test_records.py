@@ -74,3 +74,20 @@ def test_correction_and_entity_issues(spark):
     d = spark.createDataFrame([(1, [("Ada", "Hana")], ["ada", "hana"], ["hana"], ["hana"]), (2, [("Ada", "Ada")], ["hana"], ["ada", "jun"], ["hana", "jun"])], "id int, c array<struct<abandoned:string,kept:string>>, i array<string>, o array<string>, m array<string>")
     got = {r.id: (r.v4, r.v5) for r in d.select("id", G.correction_issues(F.col("c"), F.col("i"), F.col("o")).alias("v4"), G.entity_issues(F.col("m"), F.col("o")).alias("v5")).collect()}
     assert got == {1: ([], []), 2: (["same:ada", "not-in-input:ada", "leaked:ada"], ["only-declared:hana", "only-extracted:ada"])}
+
+
+def test_failure_report_buckets_each_row_once(spark):
+    """The counts of all rows and those by bucket come from one pass: the metrics of a row are not computed again for the join with the names."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def named(i: int) -> str | None:
+        seen.add(1)
+        return M.BUCKETS[i % 3] if i % 4 else None
+
+    rows = spark.range(0, 40, 1, 4).select(F.udf(named, "string")("id").alias("bucket"))
+    got = M.failure_report(rows).collect()
+    assert {r.bucket: r.n for r in got if r.n} == {M.BUCKETS[k]: sum(1 for i in range(40) if i % 4 and i % 3 == k) for k in range(3)}
+    assert len(got) == 10 and {(r.records, r.failures) for r in got} == {(40, 30)}
+    assert seen.value == 40
+    none = M.failure_report(rows.where("false")).collect()
+    assert [r.n for r in none] == [0] * 10 and {(r.records, r.share, r.failure_rate, r.advice) for r in none} == {(0, 0.0, 0.0, None)}

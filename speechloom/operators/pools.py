@@ -88,7 +88,9 @@ class Pools:
 
     def _range(self, kind: Column, key: Column, i: Column) -> Column:
         """(family, lo, n) of the i-th draw; the form of a made value is a draw of its own."""
-        u = F.pmod(draw_at(key, "form", i), F.lit(100))
+        return T.let(F.pmod(draw_at(key, "form", i), F.lit(100)), lambda u: self._form(kind, u))
+
+    def _form(self, kind: Column, u: Column) -> Column:
         out = F.lit(None).cast("struct<family:string,lo:long,n:long>")
         for k, forms in self.ranges.items():
             at, chosen = 100, None
@@ -104,11 +106,14 @@ class Pools:
         ranges = F.transform(kinds, lambda k, i: self._range(k, key, i))
         none = F.expr("cast(array() as array<struct<family:string,place:long>>)")
 
-        def drawn(acc: Column, r: Column) -> Column:
-            used = F.array_sort(F.transform(F.filter(acc, lambda u: (u["family"] == r["family"]) & (u["place"] >= r["lo"]) & (u["place"] < r["lo"] + r["n"])), lambda u: u["place"] - r["lo"]))
+        def shifted(used: Column, acc: Column, r: Column) -> Column:
             free = r["n"] - F.size(used)
             at = F.when(free > 0, F.pmod(draw_at(key, "draw", F.size(acc)), free))
-            return T.let(used, lambda used: F.aggregate(used, at, lambda p, u: F.when(u <= p, p + 1).otherwise(p))) + r["lo"]
+            return F.aggregate(used, at, lambda p, u: F.when(u <= p, p + 1).otherwise(p))
+
+        def drawn(acc: Column, r: Column) -> Column:
+            used = F.sort_array(F.transform(F.filter(acc, lambda u: (u["family"] == r["family"]) & (u["place"] >= r["lo"]) & (u["place"] < r["lo"] + r["n"])), lambda u: u["place"] - r["lo"]))
+            return T.let(used, lambda used: shifted(used, acc, r)) + r["lo"]
 
         one = lambda acc, r: F.concat(acc, F.array(F.struct(r["family"].alias("family"), drawn(acc, r).alias("place"))))
         return F.aggregate(ranges, none, one)

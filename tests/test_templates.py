@@ -207,3 +207,18 @@ def test_sentences_taken_and_passed_over(spark):
 def test_unknown_domain_of_a_long_text(spark, held):
     d = spark.createDataFrame([("a", "nonsense", "easy")], "key string, domain string, level string")
     assert longform.compose(d, bank.template_table(spark), held).collect()[0]["clean"] is None
+
+
+def test_plans_are_made_once(spark, held):
+    """The draws of a sentence and its text come from one pass over the plans, and plans without slots or template stay."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i: int) -> str | None:
+        seen.add(1)
+        return ("Call {name} at {time}.", "Go home.", None)[i % 3]
+
+    p = spark.range(0, 30, 1, 4).select(F.col("id").cast("string").alias("key"), F.udf(text, "string")("id").alias("text"), F.lit(False).alias("repeat_same"), F.expr("cast(null as array<string>)").alias("preserved"))
+    got = templates.fill(p.withColumn("slots", templates.slots(F.col("text"))), held).select("key", "clean").collect()
+    assert sorted(r.key for r in got) == sorted(map(str, range(30)))
+    assert all((r.clean or "").startswith("Call ") if int(r.key) % 3 == 0 else r.clean == ("Go home." if int(r.key) % 3 == 1 else None) for r in got)
+    assert seen.value == 30

@@ -22,14 +22,15 @@ NO_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
 
 def tokens(text: Column) -> Column:
     """array<struct<token, start, end>>: what stands between white space, with its places."""
-    none = F.expr("cast(array() as array<struct<token:string,start:int,end:int>>)")
+    t = F.coalesce(text, F.lit(""))
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
-    def add(acc: Column, piece: Column) -> Column:
-        token = F.regexp_replace(piece, "(?U)^\\s+", "")
-        end = F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)) + F.length(piece)
-        return F.concat(acc, F.array(F.struct(token.alias("token"), (end - F.length(token)).alias("start"), end.alias("end"))))
+    def add(ends: Column, piece: Column) -> Column:
+        return F.concat(ends, F.array(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + F.length(piece)))
 
-    return F.aggregate(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)\\s*\\S+"), F.lit(0)), none, add)
+    ends = F.aggregate(found("(?U)\\s*\\S+"), F.expr("cast(array() as array<int>)"), add)  # of tokens with the space before them: one for each
+    held = F.arrays_zip(found("(?U)\\S+").alias("token"), ends.alias("end"))
+    return F.transform(held, lambda x: F.struct(x["token"].alias("token"), (x["end"] - F.length(x["token"])).alias("start"), x["end"].alias("end")))
 
 
 def count(key: Column, level: Column, site: str, bounds: dict[str, tuple[int, int]]) -> Column:
@@ -53,8 +54,8 @@ def open_gaps(toks: Column, spans: Column, soft: Column, level: Column) -> Colum
     return F.filter(F.when(F.size(toks) > 1, F.sequence(F.lit(0), F.size(toks) - 2)).otherwise(F.expr("cast(array() as array<int>)")), ok)
 
 
-def filler(text: Column, key: Column, level: Column, spans: Column, soft: Column | None = None) -> Column:
-    """Text with one to four fillers in open gaps, or one before the text if no gap is open."""
+def filler(text: Column, key: Column, level: Column, spans: Column, soft: Column | None = None, toks: Column | None = None) -> Column:
+    """Text with one to four fillers in open gaps, or one before the text if no gap is open; toks are the text's tokens, where they are known."""
     soft = F.expr(NO_SPANS) if soft is None else soft
     said = F.slice(in_hash_order(F.array(*map(F.lit, FILLERS)), key, "fill.word"), 1, count(key, level, "fill.n", FILLER_COUNTS))
 
@@ -65,7 +66,8 @@ def filler(text: Column, key: Column, level: Column, spans: Column, soft: Column
         first = F.lower(F.get(said, F.lit(0)))
         return F.when(F.size(gaps) > 0, inside).otherwise(F.concat(T.upper_first(first), F.lit(", "), T.lower_first(text)))
 
-    return T.let(tokens(text), lambda toks: T.let(open_gaps(toks, spans, soft, level), lambda gaps: T.let(said, lambda said: put(toks, gaps, said))))
+    gaps = lambda toks: T.let(spans, lambda spans: T.let(soft, lambda soft: open_gaps(toks, spans, soft, level)))
+    return T.let(tokens(text) if toks is None else toks, lambda toks: T.let(gaps(toks), lambda gaps: T.let(said, lambda said: put(toks, gaps, said))))
 
 
 _PICK = "struct<first:int,k:int,form:string>"
@@ -73,16 +75,16 @@ _PICK = "struct<first:int,k:int,form:string>"
 
 def _pick(toks: Column, free: Column, used: Column, key: Column, i: Column) -> Column:
     """(first token, tokens, form) of the i-th repetition: a word, a phrase, a stutter or an echoed clause; null if no word is free."""
-    n, u = F.size(toks), F.pmod(draw_at(key, "rep.form", i), F.lit(100))
+    n, form = F.size(toks), F.pmod(draw_at(key, "rep.form", i), F.lit(100))
     at = lambda c: F.get(c, F.pmod(draw_at(key, "rep.at", i), F.greatest(F.size(c), F.lit(1)).cast("long")).cast("int"))
     one = lambda x, k, form: F.struct(x.cast("int").alias("first"), F.lit(k).alias("k"), F.lit(form).alias("form"))
 
     def runs(words: Column, k: int, upto: Column, form: str) -> Column:
-        """The places where k tokens in a row are free, up to a last token."""
-        inside = F.filter(words, lambda x: (x + k <= upto) & (F.size(F.filter(words, lambda y: (y >= x) & (y < x + k))) == k))
+        """The places where k tokens in a row are free, up to a last token: words ascend, so the k-th from here is k - 1 further on."""
+        inside = F.filter(words, lambda x, i: (x + k <= upto) & (F.get(words, i + (k - 1)) == x + (k - 1)))
         return F.transform(inside, lambda x: one(x, k, form))
 
-    def choose(words: Column) -> Column:
+    def choose(words: Column, u: Column) -> Column:
         phrases = F.concat(runs(words, 3, n, "phrase"), runs(words, 2, n, "phrase"))
         clauses = F.concat(*[runs(words, k, n - 2, "clause") for k in (4, 3, 2)])
         parts = F.transform(F.filter(words, lambda x: T.let(F.get(toks, x)["token"], lambda t: (F.length(t) >= 4) & t.rlike("(?U)^\\p{L}+$"))), lambda x: one(x, 1, "stutter"))
@@ -91,7 +93,7 @@ def _pick(toks: Column, free: Column, used: Column, key: Column, i: Column) -> C
         some = F.when((u < 40) | (F.size(words) < 2), word).when((u < 65) & (n >= 4), other(phrases, F.lit(True))).when(u < 85, other(parts, F.lit(True))).otherwise(other(clauses, n >= 6))
         return F.when(F.size(words) > 0, some)
 
-    return T.let(F.filter(free, lambda x: ~F.array_contains(used, x)), choose)
+    return T.let(F.filter(free, lambda x: ~F.array_contains(used, x)), lambda words: T.let(form, lambda u: choose(words, u)))
 
 
 def moved(spans: Column, edits: Column) -> Column:
@@ -100,13 +102,13 @@ def moved(spans: Column, edits: Column) -> Column:
     return F.transform(spans, lambda s: T.let(by(s), lambda n: F.struct((s["start"] + n).alias("start"), (s["end"] + n).alias("end"))))
 
 
-def repetition(text: Column, key: Column, level: Column, spans: Column) -> Column:
+def repetition(text: Column, key: Column, level: Column, spans: Column, toks: Column | None = None) -> Column:
     """Text with one to three repetitions of words outside spans; the first token is said twice if there is none."""
-    return repeated(text, key, level, spans)["text"]
+    return repeated(text, key, level, spans, toks)["text"]
 
 
-def repeated(text: Column, key: Column, level: Column, spans: Column) -> Column:
-    """struct<text, edits> of ``repetition``; edits (at, more) are where a repeated part starts and what it adds."""
+def repeated(text: Column, key: Column, level: Column, spans: Column, toks: Column | None = None) -> Column:
+    """struct<text, edits> of ``repetition``; edits (at, more) are where a repeated part starts and what it adds. toks are the text's tokens, where they are known."""
     def picks(toks: Column, free: Column) -> Column:
         state = F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.expr(f"cast(array() as array<{_PICK}>)").alias("got"))
         more = lambda a, p: F.when(p.isNull(), a).otherwise(F.struct(F.concat(a["used"], F.sequence(p["first"], p["first"] + p["k"] - 1)).alias("used"), F.concat(a["got"], F.array(p)).alias("got")))
@@ -124,8 +126,8 @@ def repeated(text: Column, key: Column, level: Column, spans: Column) -> Column:
 
         return F.aggregate(F.reverse(F.array_sort(got)), unedited(text), say)
 
-    def run(toks: Column) -> Column:
+    def run(toks: Column, spans: Column) -> Column:
         free = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda x: T.let(F.get(toks, x), lambda t: _said(t["token"]) & ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"]))))
         return F.when(F.size(toks) > 0, T.let(free, lambda free: T.let(picks(toks, free), lambda got: rebuilt(toks, got)))).otherwise(unedited(text))
 
-    return T.let(tokens(text), run)
+    return T.let(tokens(text) if toks is None else toks, lambda toks: T.let(spans, lambda spans: run(toks, spans)))

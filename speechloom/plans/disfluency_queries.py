@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +30,19 @@ _TOKENS = (
 _WORD = "regexp_matches(ts[{i}], '^[\\p{{L}}\\p{{N}}]')"
 
 
-def protected(text: Column) -> Column:
-    return F.transform(F.filter(D.tokens(text), lambda t: t["token"].rlike(LONG)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+def protected(toks: Column) -> Column:
+    return F.transform(F.filter(toks, lambda t: t["token"].rlike(LONG)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = utterances(spark, sf_dir)
-    return u.select("utt_id", "text", T.pick(F.col("utt_id"), "level", LEVELS).alias("level"), protected(F.col("text")).alias("spans"))
+    return u.select("utt_id", "text", T.pick(F.col("utt_id"), "level", LEVELS).alias("level"))
+
+
+def _noisy(change: Callable[..., Column]) -> Column:
+    """A text changed outside its protected words; its tokens are found once."""
+    c = F.col
+    return T.let(D.tokens(c("text")), lambda toks: change(c("text"), c("utt_id"), c("level"), protected(toks), toks=toks))
 
 
 @query(f"WITH {_TOKENS} SELECT key AS utt_id, unnest(range(n))::INT AS place, unnest(ts) AS token, unnest(ss)::INT AS start, unnest(es)::INT AS \"end\" FROM tok")
@@ -52,7 +60,7 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_protected_filler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to four fillers by difficulty, none next to or within a protected word."""
-    return _rows(spark, sf_dir).select("utt_id", D.filler(F.col("text"), F.col("utt_id"), F.col("level"), F.col("spans")).alias("noisy"))
+    return _rows(spark, sf_dir).select("utt_id", _noisy(D.filler).alias("noisy"))
 
 
 def _sql_pick(i: int) -> str:
@@ -84,4 +92,4 @@ _PART = "('0x' || substr(md5('42:' || key || ':rep.part:' || (p.first - 1)), 1,
 )
 def q_protected_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three repeated words, phrases, stutters or clauses, none of a protected word."""
-    return _rows(spark, sf_dir).select("utt_id", D.repetition(F.col("text"), F.col("utt_id"), F.col("level"), F.col("spans")).alias("noisy"))
+    return _rows(spark, sf_dir).select("utt_id", _noisy(D.repetition).alias("noisy"))

@@ -48,8 +48,8 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], np.repeat(np.arange(len(words)), ends)
 
 
-def gram_counts(rows: DataFrame, order: int, share: float) -> DataFrame:
-    """label (a long), gram, n over all rows (text, label) of n-grams that are at least share of their label's, so at most 1 / share a label.
+def gram_counts(rows: DataFrame, order: int) -> DataFrame:
+    """label (a long), gram, n of every n-gram over all rows (text, label), from a written table.
 
     Each task sums what it reads, so hot n-grams and labels are aggregated before they are shuffled.
     """
@@ -74,7 +74,11 @@ def gram_counts(rows: DataFrame, order: int, share: float) -> DataFrame:
         sums.clear()
 
     made = rows.select(F.col("text").cast("string"), F.col("label").cast("long")).mapInArrow(count, "label long, gram long, n long")
-    sums = written(rows.sparkSession, made.groupBy("label", "gram").agg(F.sum("n").alias("n")))
+    return written(rows.sparkSession, made.groupBy("label", "gram").agg(F.sum("n").alias("n")))
+
+
+def common(sums: DataFrame, share: float) -> DataFrame:
+    """The rows of gram_counts that are at least share of their label's, so at most 1 / share a label."""
     total = sums.groupBy("label").agg((F.sum("n") * F.lit(share)).alias("__least"))  # a row a label
     return sums.join(F.broadcast(total), "label").where(F.col("n") >= F.col("__least")).drop("__least")
 

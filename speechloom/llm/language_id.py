@@ -192,7 +192,7 @@ def train(spark: SparkSession, rows: DataFrame) -> tuple | None:
         return None
     index = F.array_position(F.array(*[F.lit(k) for k in langs]), F.col("label").cast("string")) - 1
     held = written(spark, rows.select("text", index.alias("label")))
-    cells = chars.gram_counts(held, ORDER, SHARE).toPandas()
+    cells = chars.common(chars.gram_counts(held, ORDER), SHARE).toPandas()
     label, gram, n = (cells[c].to_numpy() for c in ("label", "gram", "n"))
     size = len(np.unique(chars.lower(gram, 1))) + 1
     models = [CharModel(gram[label == k], n[label == k], size) for k in range(len(langs))]

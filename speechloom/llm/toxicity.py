@@ -6,7 +6,9 @@ the pieces they share with known ones. A word's evidence is the difference of it
 document's is the length-normalised difference over its whole text and over its most toxic words; a logistic function learned on
 the training rows turns both into the score.
 
-Counts are taken over all labelled training rows and all characters; what is broadcast grows with the n-grams that these hold, up to 1 / SHARE a class.
+Counts are taken over all labelled training rows and all characters, and the models are made of them as tables: every n-gram counts, however
+rare. Where they hold up to HELD n-grams and contexts, these are broadcast. Beyond that the most frequent n-grams are, and a word with
+another one is scored by joins with the tables: its evidence is the same, and so is the score.
 The logistic function is fitted on a sample of about ``FIT_ROWS`` of them (a hash of the id decides), each scored by the counts of the
 half of the rows that it is not in.
 
@@ -17,11 +19,12 @@ empty table gives no rows; a very long text is scored whole; other columns play
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chars
@@ -34,8 +37,10 @@ FIT_ROWS = 10_000
 CACHE = 200_000
 PREDICT_AT = 0.7
 N_FEATURES = 4
-#: N-grams that are less than this share of their class's (in a half of the rows) are left to the lower orders.
-SHARE = 4e-7
+#: N-grams and contexts that are broadcast at most; words with others are scored by joins.
+HELD = 2_000_000
+#: Parts of the counts: those of each half's other half, and all.
+ALL = 2
 
 
 def kneser_ney(counts: np.ndarray, context: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +80,114 @@ def evidence(gram: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> tuple[ch
     return chars.Lookup(gram, logs[0] - logs[1], 0.0), chars.Lookup(every, np.log(weights[0](every)[0]) - np.log(weights[1](every)[0]), 0.0)
 
 
+def _key(c: str, order: int) -> Column:
+    """chars.lower of a column."""
+    return F.col(c).bitwiseAND(F.lit((1 << chars.BITS * order) - 1))
+
+
+def _context(c: str) -> Column:
+    return F.shiftrightunsigned(c, chars.BITS)
+
+
+def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """A join of tables that grow with the n-grams: never by broadcast."""
+    return left.join(right.hint("merge"), list(keys))
+
+
+def model_tables(spark: SparkSession, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``evidence`` as tables, of every part: (part, gram, n, value) and (part, context, value), from (label: class + 2 * half, gram, n)."""
+    c, half, toxic = F.col, F.floor(F.col("label") / 2).cast("int"), F.col("label") % 2 == 1
+    each = counts.select(F.explode(F.array(F.lit(ALL), 1 - half)).alias("part"), "gram", F.when(toxic, c("n")).otherwise(0).alias("t"), F.when(toxic, 0).otherwise(c("n")).alias("p"))
+    grams = each.groupBy("part", "gram").agg(F.sum("t").alias("t"), F.sum("p").alias("p"))
+    grams = written(spark, grams.withColumn("tri", _key("gram", 3)).withColumn("context", _context("gram").bitwiseAND(F.lit((1 << chars.BITS * 3) - 1))))
+    tri = grams.groupBy("part", "tri").agg(F.count("*").alias("n3")).withColumn("bi", _key("tri", 2)).withColumn("c3", _context("tri"))
+    tri = written(spark, tri)
+    bi = written(spark, tri.groupBy("part", "bi").agg(F.count("*").alias("n2")).withColumn("uni", _key("bi", 1)).withColumn("c2", _context("bi")))
+    uni = bi.groupBy("part", "uni").agg(F.count("*").alias("n1"))
+    size = uni.groupBy("part").agg(F.sum("n1").alias("s"), F.count("*").alias("k"))  # a row a part
+    uni = uni.join(F.broadcast(size), "part").select("part", "uni", ((c("n1") + 0.5) / (c("s") + 0.5 * (c("k") + 1))).alias("p1"))
+
+    def smoothed(d: DataFrame, n: str, context: str, below: str, name: str) -> DataFrame:
+        sums = d.groupBy("part", context).agg(F.sum(n).alias("__s"), F.count("*").alias("__k"))
+        p = F.greatest(c(n) - DISCOUNT, F.lit(0.0)) / c("__s") + DISCOUNT * c("__k") / c("__s") * c(below)
+        return _joined(d, sums, "part", context).withColumn(name, p)
+
+    p2 = smoothed(_joined(bi, uni, "part", "uni"), "n2", "c2", "p1", "p2").select("part", "bi", "p2")
+    p3 = smoothed(_joined(tri, p2, "part", "bi"), "n3", "c3", "p2", "p3").select("part", "tri", "p3")
+    kinds = lambda n: F.count(F.when(c(n) > 0, 1))
+    weight = lambda n: F.when(kinds(n) > 0, DISCOUNT * kinds(n) / F.sum(n)).otherwise(1.0)
+    contexts = written(spark, grams.groupBy("part", "context").agg(F.greatest(F.sum("t"), F.lit(1)).alias("st"), F.greatest(F.sum("p"), F.lit(1)).alias("sp"), weight("t").alias("wt"), weight("p").alias("wp")))
+    d = _joined(_joined(grams, p3, "part", "tri"), contexts, "part", "context")
+    log_p = lambda n: F.log(F.greatest(c(n) - DISCOUNT, F.lit(0.0)) / c("s" + n) + c("w" + n) * c("p3"))
+    made = written(spark, d.select("part", "gram", (c("t") + c("p")).alias("n"), (log_p("t") - log_p("p")).cast("float").alias("value")))
+    return made, contexts.select("part", "context", (F.log("wt") - F.log("wp")).cast("float").alias("value"))
+
+
+def _lookup(rows: DataFrame, key: str) -> chars.Lookup:
+    held = rows.select(key, "value").toPandas()
+    return chars.Lookup(held[key].to_numpy(np.int64), held["value"].to_numpy(), 0.0)
+
+
+class Model:
+    """The tables of a part, and what of them is broadcast: everything if it is at most HELD rows, else the most frequent n-grams."""
+
+    def __init__(self, tables: tuple[DataFrame, DataFrame], part: int):
+        self.grams, self.contexts = (t.where(F.col("part") == part).drop("part") for t in tables)
+        by = {r["b"]: r["n"] for r in self.grams.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
+        self.whole = sum(by.values()) + self.contexts.count() <= HELD
+        least = 0
+        while not self.whole and sum(n for b, n in by.items() if b >= least) > HELD:
+            least += 1
+        hot = self.grams.where(F.col("n") >= F.lit(1 << least))
+        self.args = (_lookup(hot, "gram"), _lookup(self.contexts if self.whole else self.contexts.limit(0), "context"), self.whole)
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """id, f of rows (id, text), where some words have n-grams that are not broadcast."""
+        spark, c, held = rows.sparkSession, F.col, Sent(rows.sparkSession, self.args)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(*held.value)
+            for whole in batches:
+                for at in range(0, max(1, whole.num_rows), 512):
+                    b = whole.slice(at, 512)
+                    got = scorer.partial([t or "" for t in b.column(1).to_pylist()])
+                    kinds = (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+                    yield pa.record_batch([b.column(0), *[pa.array([g[k] for g in got], t) for k, t in enumerate(kinds)]], names=["id", "sums", "tops", "open"])
+
+        made = rows.select("id", "text").mapInArrow(run, "id long, sums array<double>, tops array<double>, open array<struct<word:string,n:long>>")
+        made = written(spark, made.withColumn("rid", F.monotonically_increasing_id()))
+        asked = made.select("rid", F.explode("open").alias("o")).select("rid", "o.word", "o.n")
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = b.column(0).to_pylist()
+                g, i = chars.grams(words, ORDER) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                yield pa.record_batch([b.column(0).take(pa.array(i)), pa.array(g), pa.array(chars.lower(g >> chars.BITS, 3))], names=["word", "gram", "context"])
+
+        parts = asked.select("word").distinct().mapInArrow(pieces, "word string, gram long, context long")
+        parts = parts.join(self.grams.select("gram", c("value").alias("v")).hint("merge"), "gram", "left").join(self.contexts.select("context", c("value").alias("w")).hint("merge"), "context", "left")
+        words = parts.groupBy("word").agg(F.sum(F.coalesce("v", "w", F.lit(0.0)).cast("double")).alias("e"), F.count("*").alias("k"))
+        rate = c("e") / (c("k") + 2.0)
+        more = asked.join(words.hint("merge"), "word").groupBy("rid").agg(
+            F.array(F.sum(c("e") * c("n")), F.sum(c("k") * c("n")).cast("double"), F.sum(rate * c("n")), F.sum("n").cast("double")).alias("s"),
+            F.flatten(F.collect_list(F.array_repeat(rate, F.least(c("n"), F.lit(3)).cast("int")))).alias("r"),  # of the words of one text
+        )
+        d = made.join(more.hint("merge"), "rid", "left")
+        x = [F.get("sums", F.lit(k)) + F.coalesce(F.get("s", F.lit(k)), F.lit(0.0)) for k in range(4)]
+        top = F.sort_array(F.concat("tops", F.coalesce("r", F.expr("cast(array() as array<double>)"))), asc=False)
+        d = d.select("id", F.array(*x).alias("x"), F.slice(top, 1, 3).alias("top"))
+        at = lambda k: F.get("x", F.lit(k))
+        return d.select("id", F.when(at(3) > 0, F.array(at(0) / at(1), at(2) / at(3), F.get("top", F.lit(0)), F.element_at("top", -1))).otherwise(F.array(*[F.lit(0.0)] * N_FEATURES)).alias("f"))
+
+
 class Scorer:
-    """Features of texts: the mean evidence per character, and the mean, largest and third largest evidence of words per character."""
+    """Features of texts: the mean evidence per character, and the mean, largest and third largest evidence of words per character.
+
+    Where not all n-grams are given, words with another one are left open.
+    """
 
-    def __init__(self, seen: chars.Lookup, contexts: chars.Lookup):
-        self.held, self.contexts, self.seen = seen, contexts, {"": (0.0, 0.0)}
+    def __init__(self, seen: chars.Lookup, contexts: chars.Lookup, whole: bool = True):
+        self.held, self.contexts, self.whole, self.seen = seen, contexts, whole, {"": (0.0, 0.0)}
 
     def words(self, new: list[str]) -> None:
         stripped = [w.strip(chars.STRIP) for w in new]
@@ -90,14 +198,32 @@ class Scorer:
         length = np.fromiter(map(len, stripped), np.float64, len(new))
         total[length == 0] = 0.0
         self.seen.update(zip(new, zip(total.tolist(), (length + 1).tolist(), strict=True), strict=True))
+        if not self.whole:
+            lacking = (np.bincount(i, weights=~known, minlength=len(new)) > 0) & (length > 0)
+            self.seen.update((new[k], None) for k in np.flatnonzero(lacking))
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them known after this."""
         split = [t.lower().split() for t in texts]
         if len(self.seen) > CACHE:
             self.seen = {"": (0.0, 0.0)}
-        seen = self.seen
-        if new := list({w for ws in split for w in ws if w not in seen}):
+        if new := list({w for ws in split for w in ws if w not in self.seen}):
             self.words(new)
+        return split
+
+    def partial(self, texts: list[str]) -> list[tuple[list[float], list[float], list[dict]]]:
+        """Of each text's known words the sums of evidence, characters and rates, their number and three largest rates; and the open words with their numbers."""
+        out = []
+        for ws in self.split(texts):
+            e = np.array([x for w in ws if (x := self.seen[w]) is not None]).reshape(-1, 2)
+            rate = e[:, 0] / (e[:, 1] + 2.0)
+            left = Counter(w.strip(chars.STRIP) for w in ws if self.seen[w] is None)
+            out.append(([float(e[:, 0].sum()), float(e[:, 1].sum()), float(rate.sum()), float(len(e))], np.sort(rate)[::-1][:3].tolist(), [{"word": w, "n": n} for w, n in left.items()]))
+        return out
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        split = self.split(texts)
+        seen = self.seen
         out = np.zeros((len(texts), N_FEATURES))
         for k, ws in enumerate(split):
             if ws:
@@ -108,9 +234,15 @@ class Scorer:
         return out
 
 
-def score_rows(df: DataFrame, scorer_args: tuple, weights: np.ndarray | None) -> DataFrame:
+def score_rows(df: DataFrame, model: Model, weights: np.ndarray | None) -> DataFrame:
     """id, score (or the features if there are no weights) of rows (id, text)."""
-    held = Sent(df.sparkSession, (scorer_args, weights))
+    if not model.whole:
+        made = model.features(df)
+        if weights is None:
+            return made
+        z = sum((F.get("f", F.lit(k)) * float(weights[k]) for k in range(N_FEATURES)), F.lit(float(weights[-1])))
+        return made.select("id", (1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+    held = Sent(df.sparkSession, (model.args, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         args, w = held.value
@@ -146,30 +278,23 @@ def fit_logistic(f: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def train(spark: SparkSession, labelled: DataFrame) -> tuple[tuple, np.ndarray] | None:
-    """The scorer's arguments and the logistic weights, from rows (id, text, label 0/1); None if a class is missing."""
+def train(spark: SparkSession, labelled: DataFrame) -> tuple[Model, np.ndarray] | None:
+    """The model and the logistic weights, from rows (id, text, label 0/1); None if a class is missing."""
     half = F.xxhash64("id", F.lit("half")).bitwiseAND(1)
     rows = written(spark, labelled.where("label is not null").select("id", "text", (F.col("label").cast("int") == 1).cast("int").alias("label"), half.alias("half")))
-    counts = chars.gram_counts(rows.select("text", (F.col("label") + 2 * F.col("half")).alias("label")), ORDER, SHARE).toPandas()
-    label, gram, n = (counts[c].to_numpy() for c in ("label", "gram", "n"))
-    toxic = label % 2 == 1
-    if not toxic.any() or toxic.all():
+    counts = chars.gram_counts(rows.select("text", (F.col("label") + 2 * F.col("half")).alias("label")), ORDER)
+    there = {r["label"] for r in counts.select("label").distinct().collect()}  # four at most
+    if len({k % 2 for k in there}) < 2:
         return None
-
-    def model(part: np.ndarray) -> tuple:
-        keys, at = np.unique(gram[part], return_inverse=True)
-        both = [np.bincount(at, weights=np.where(toxic[part] == c, n[part], 0), minlength=len(keys)) for c in (True, False)]
-        return evidence(keys, *both)
-
-    args = model(np.ones(len(n), bool))
+    tables = model_tables(spark, counts)
+    args = Model(tables, ALL)
     share = min(1.0, FIT_ROWS / max(1, rows.count()))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) < int(share * (1 << 53)))
     parts = []
     for h in (0, 1):  # each half by the counts of the other, or by all where that lacks a class
-        other = label // 2 != h
-        fair = (toxic & other).any() and (~toxic & other).any()
+        fair = len({k % 2 for k in there if k // 2 != h}) == 2
         part = sample.where(F.col("half") == h)
-        parts.append(score_rows(part, model(other) if fair else args, None).join(part.select("id", "label").distinct(), "id").toPandas())
+        parts.append(score_rows(part, Model(tables, h) if fair else args, None).join(part.select("id", "label").distinct(), "id").toPandas())
     x, y = np.array([f for p in parts for f in p.f]), np.concatenate([p.label.to_numpy() for p in parts]).astype(float)
     if not len(y):  # no row of the sample: any sample row serves
         return args, np.append(np.ones(N_FEATURES), 0.0)

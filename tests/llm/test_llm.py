@@ -815,3 +815,28 @@ def test_queries_match_their_sql(spark, name):
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))
+
+
+def test_rare_ngrams_count_in_toxicity(spark, monkeypatch):
+    """No n-gram is left out of the model, whatever its share; words whose n-grams are not broadcast get the same scores by joins."""
+    words = [f"{a}{b}{c}" for a in ("ba", "ko", "zu") for b in "aeiou" for c in ("rd", "st", "mm")]
+    rng = random.Random(5)
+    plain = [(k, " ".join(rng.choices(words, k=40))) for k in range(60)]
+    toxic = [(k, " ".join(rng.choices(words, k=38)) + f" vuqq{chr(97 + k % 7)}") for k in range(60, 90)]
+    d = spark.createDataFrame([*plain, *toxic, (90, "xyzzy new"), (91, ""), (92, None), (91, ""), (93, "bard bard vuqqa !! bard")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 60)) for k in range(90)], "doc_id long, toxic int")
+    rows = d.join(labels, "doc_id").select(F.col("text"), (F.col("toxic") + 2 * (F.col("doc_id") % 2)).alias("label"))
+    counts = toxicity.chars.gram_counts(rows, toxicity.ORDER)
+    grams, contexts = toxicity.model_tables(spark, counts)
+    c = counts.toPandas()
+    for part, keep in ((toxicity.ALL, c.label >= 0), (0, c.label // 2 == 1)):
+        x = c[keep]
+        keys, at = np.unique(x.gram.to_numpy(), return_inverse=True)
+        seen, about = toxicity.evidence(keys, *[np.bincount(at, weights=np.where(x.label % 2 == k, x.n, 0), minlength=len(keys)) for k in (1, 0)])
+        for table, key, want in ((grams, "gram", seen), (contexts, "context", about)):
+            got = table.where(F.col("part") == part).toPandas().sort_values(key)
+            assert got[key].tolist() == want.keys.tolist() and np.allclose(got["value"], want.values, atol=1e-5)
+    want = sorted((r.doc_id, r.score) for r in toxicity.score(spark, d, labels).collect())
+    monkeypatch.setattr(toxicity, "HELD", 40)
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(spark, d, labels).collect())
+    assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([v for _, v in got], [v for _, v in want], atol=1e-5)

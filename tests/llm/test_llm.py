@@ -283,6 +283,50 @@ def test_seeds_of_many_windows_are_all_met(spark):
     assert got == {(i, j) for i in range(39) for j in range(i + 1, 39)}  # a bound of 32 gave none
 
 
+def met(monkeypatch) -> list:
+    """The number of matches that each later call of find makes."""
+    counts, matches = [], passages.matches
+    monkeypatch.setattr(passages, "matches", lambda *a: (d := matches(*a), counts.append(d.count()))[0])
+    return counts
+
+
+def test_a_common_line_alone_makes_no_pairs(spark, monkeypatch):
+    rng = random.Random(24)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    line = [word() for _ in range(25)]
+    rows = [(k, " ".join([*(word() for _ in range(90)), *line, *(word() for _ in range(90))])) for k in range(60)]
+    counts = met(monkeypatch)
+    got = passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.component_id for r in got} == set(range(60)) and not any(r.n_passages for r in got)
+    assert counts[0] < 1770  # rare seeds across an edge of the line; each seed of the line made 1770 pairs before
+
+
+def test_runs_of_one_word_are_matched_at_their_ends(spark, monkeypatch):
+    rng = random.Random(25)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    x, y = [word() for _ in range(22)], [word() for _ in range(22)]
+    rows = [(k, " ".join([*(word() for _ in range(30)), *x, *["same"] * (24 + 4 * k), *y, *(word() for _ in range(30))])) for k in range(2)]
+    counts = met(monkeypatch)
+    got = passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and [r.spans for r in sorted(got, key=lambda r: r.doc_id)] == ["30:98", "30:102"]
+    assert counts[0] < 40  # each place of a run with each of the other before: 20 * 24
+
+
+def test_words_that_may_lie_in_a_passage():
+    rng = np.random.default_rng(26)
+    for _ in range(300):
+        n = int(rng.integers(0, 160))
+        covered = np.repeat(rng.random(n) < 0.8, rng.integers(1, 9, n))[:n]
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + passages.MIN_WORDS, n + 1):
+                hole = "0" * passages.HOLE in "".join("01"[c] for c in covered[i:j].tolist())
+                want[i:j] |= covered[i:j].sum() >= passages.IDENTITY * (j - i) and not hole
+        got = passages.hopeful(n, covered)
+        assert not (want & ~got).any()
+        assert not (got & ~want).any()
+
+
 def test_fuzzy_copy_of_a_frequent_passage(spark):
     """A passage that more texts hold than are joined all with all, and two that hold it with changes."""
     rng = random.Random(22)

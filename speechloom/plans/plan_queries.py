@@ -10,7 +10,7 @@ from ..operators.bank import DOMAINS
 from ..operators.pools import Pools
 from ..registry import query
 from ..sources.io import RECORD
-from ..sources.shared import cut
+from ..sources.shared import cut, stored
 from ..sources.views import SQL, sql_draw, table, utterances
 from . import allocate, generate, reuse
 from .quota import RATIOS
@@ -95,9 +95,10 @@ def q_bucket_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "bucket", "category", "kind", F.array_join("transforms", ",").alias("transforms"), "difficulty", "source", "place")
 
 
-def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Real plans with their texts, and the texts; a number in a text stands for its value."""
-    texts = utterances(spark, sf_dir).select(F.col("utt_id").alias("text_id"), "words", F.when(F.col("text").rlike("[0-9]"), 1).otherwise(0).alias("kinds"))
+def matched(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Real plans with their texts (said, or all utterances), and the texts; a number in a text stands for its value."""
+    said = utterances(spark, sf_dir) if said is None else said
+    texts = said.select(F.col("utt_id").alias("text_id"), "words", F.when(F.col("text").rlike("[0-9]"), 1).otherwise(0).alias("kinds"))
     p = bucket_plans(spark, sf_dir).where("source = 'real'").select("id", "key", "identity", F.array_contains("transforms", "self_correction").alias("needs_value"))
     return reuse.match(p, texts), texts
 
@@ -153,9 +154,9 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every document as a plan: real ones say utterances, others templates and formatting commands. Near duplicates are made again once, then dropped."""
-    texts = utterances(spark, sf_dir).select("utt_id", "text")
-    real, _ = matched(spark, sf_dir)
-    plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts, "utt_id", "left").drop("id", "i", "utt_id", "place")
+    texts = stored(utterances(spark, sf_dir).select("utt_id", "text", "words"))
+    real, _ = matched(spark, sf_dir, texts)
+    plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts.drop("words"), "utt_id", "left").drop("id", "i", "utt_id", "place")
     return generate.compile_records(plans, bank.template_table(spark), Pools(bank.lexicon_table(spark)), holdout(spark, sf_dir), rounds=1)
 
 

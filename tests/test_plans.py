@@ -12,7 +12,8 @@ from speechloom.functions.constants import COMBOS, FILLERS
 from speechloom.operators import bank, pools, realize
 from speechloom.operators import disfluency as D
 from speechloom.operators import entities as E
-from speechloom.plans import allocate, generate, reuse
+from speechloom.plans import allocate, generate, plan_queries, reuse
+from speechloom.sources import views
 from speechloom.sources.io import RECORD
 
 
@@ -254,3 +255,11 @@ def test_near_records_are_made_again(spark, tmp_path):
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
             assert a["category"] != b["category"] or jaccard((a["input"], a["output"]), (b["input"], b["output"])) < 0.85
+
+
+def test_utterances_of_the_compile_job_are_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(plan_queries, "utterances", lambda *a: (made.append(a), views.utterances(*a))[1])
+    monkeypatch.setattr(generate, "compile_records", lambda plans, *a, **k: plans)
+    plans = plan_queries.compiled(spark, "/root/testdata/sf0.001")
+    assert plans.where("text is not null").count() > 0 and len(made) == 1  # twice before

@@ -321,10 +321,11 @@ def test_words_that_may_lie_in_a_passage():
         for i in range(n):
             for j in range(i + passages.MIN_WORDS, n + 1):
                 hole = "0" * passages.HOLE in "".join("01"[c] for c in covered[i:j].tolist())
-                want[i:j] |= covered[i:j].sum() >= passages.IDENTITY * (j - i) and not hole
-        got = passages.hopeful(n, covered)
-        assert not (want & ~got).any()
-        assert not (got & ~want).any()
+                whole = covered[i] and covered[j - 1] and not hole  # a passage begins and ends in a block
+                want[i:j] |= whole and covered[i:j].sum() >= passages.IDENTITY * (j - i)
+        assert not (want & ~passages.hopeful(n, covered)).any()
+    line = np.arange(200) // 25 == 4
+    assert not passages.hopeful(200, line).any() and passages.hopeful(200, ~line)[~line].all()
 
 
 def test_fuzzy_copy_of_a_frequent_passage(spark):

@@ -301,6 +301,19 @@ def test_a_common_line_alone_makes_no_pairs(spark, monkeypatch):
     assert counts[0] < 1770  # rare seeds across an edge of the line; each seed of the line made 1770 pairs before
 
 
+def test_a_common_line_in_texts_with_copies_meets_only_copies(spark, monkeypatch):
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    line, rows = [word() for _ in range(25)], []
+    for k in range(0, 80, 2):  # two near copies each, every twentieth word changed in one of them
+        one = [*(word() for _ in range(60)), *line, *(word() for _ in range(60))]
+        rows += [(k, " ".join(one)), (k + 1, " ".join(w if i % 20 else word() for i, w in enumerate(one)))]
+    counts = met(monkeypatch)
+    got = passages.find(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 and r.n_passages == 1 for r in got)
+    assert counts[0] < 3000  # each seed of the line made 3160 pairs of texts before
+
+
 def test_runs_of_one_word_are_matched_at_their_ends(spark, monkeypatch):
     rng = random.Random(25)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))

@@ -325,6 +325,27 @@ def test_runs_of_one_word_are_matched_at_their_ends(spark, monkeypatch):
     assert counts[0] < 40  # each place of a run with each of the other before: 20 * 24
 
 
+def test_runs_of_one_word_end_with_their_text(spark):
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    run, shared = ["na"] * 20, prose(120)
+    changed = [f"c{i}" if i % 24 == 23 else w for i, w in enumerate(shared)]
+    texts = [prose(60) + run, run + shared, run + changed, prose(60) + run]
+    words = passages.Words()
+    codes = [words(" ".join(t)) for t in texts]
+    batch = passages.Texts(passages.pa.array([c.tobytes() for c in codes], passages.pa.binary()))
+    p = np.concatenate([np.arange(len(c) - passages.SEED + 1) + b for c, b in zip(codes, batch.begins, strict=True)])
+    k = batch.of(p)
+    at, h, _, of = passages._ends(batch, p, batch.windows(passages.SEED)[p].view(np.int64), np.full(len(p), 2), k)
+    assert (at >= batch.begins[of]).all() and (at + passages.SEED <= batch.ends[of]).all()
+    assert (batch.windows(passages.SEED)[at].view(np.int64) == h).all() and (batch.of(at) == of).all()
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in passages.find(spark, d).collect()}
+    assert got[1]["component_id"] == got[2]["component_id"] == 1
+    assert got[1]["spans"] == "0:139" and got[2]["spans"] == "0:139"  # the last word is changed
+    assert got[0]["spans"] == got[3]["spans"] == ""
+
+
 def test_words_that_may_lie_in_a_passage():
     rng = np.random.default_rng(26)
     for _ in range(300):

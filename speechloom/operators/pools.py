@@ -47,8 +47,8 @@ MADE = {
 }
 
 
-def ranked(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
-    """df with the place from 0 of each row among those of equal ``by``, in the order of md5(key), then key.
+def ranked(df: DataFrame, by: list[str], key: str, name: str, then: list[str] | None = None) -> DataFrame:
+    """df with the place from 0 of each row among those of equal ``by``, in the order of md5(key), then key, then the columns given.
 
     Rows are ranked within 4,096 ranges of the hash and shifted by the counts of the ranges before, so no task holds a group.
     """
@@ -57,7 +57,7 @@ def ranked(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
     before = F.coalesce(F.sum("__c").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(*by, "__b", before.alias("__before"))
     d = d.join(counts, [*by, "__b"])
-    return d.withColumn(name, F.row_number().over(W.partitionBy(*by, "__b").orderBy("__h", key)) - 1 + F.col("__before")).drop("__h", "__b", "__before")
+    return d.withColumn(name, F.row_number().over(W.partitionBy(*by, "__b").orderBy("__h", key, *(then or []))) - 1 + F.col("__before")).drop("__h", "__b", "__before")
 
 
 class Pools:

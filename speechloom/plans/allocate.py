@@ -94,8 +94,19 @@ def weighted(key: Column, site: str, weights: Column) -> Column:
     return F.size(F.filter(upto, lambda x: x <= u))
 
 
+def padded(n: Column) -> Column:
+    """A number in six digits, or as many as it has: lpad cuts longer ones, so that 123,456 and 1,234,567 would be one."""
+    s = n.cast("string")
+    return F.lpad(s, F.greatest(F.lit(6), F.length(s)), F.lit("0"))
+
+
+def plan_key(i: Column, seed: int = 42) -> Column:
+    """The key of ``assign`` for the first million plans, and one of its own for every other."""
+    return F.concat(F.lit(f"plan:{seed}:"), padded(i))
+
+
 def assign(rows: DataFrame, segments: list[Segment], seed: int = 42) -> DataFrame:
-    """rows (i: 0 .. total - 1, other columns) with key and what a plan holds."""
+    """rows (i: 0 .. total - 1, other columns) with key and what a plan holds. As in SQL, a key has six digits: beyond a million plans several share one (``plan_key`` names each)."""
     segments = [s for s in segments if s.n > 0]
     ends = [sum(s.n for s in segments[: k + 1]) for k in range(len(segments))]
     turn = lambda kind, ts: F.struct(F.lit(kind).alias("kind"), (F.array(*map(F.lit, ts)) if ts else F.expr("cast(array() as array<string>)")).alias("transforms"))

@@ -20,6 +20,7 @@ from ..operators import values as V
 from ..operators.bank import DOMAINS
 from ..operators.pools import Pools, ranked
 from ..sources.shared import cut
+from .allocate import padded
 
 ATTEMPTS = 2
 VERSION = "20260101.2"
@@ -27,16 +28,18 @@ _NONE = "cast(array() as array<string>)"
 _FORMAT = "struct<type:string,items:array<string>>"
 
 
-def _attempts(plans: DataFrame, branch: int, name: str, attempts: int) -> DataFrame:
-    """Plans with attempts of a branch: plan, key and rank among all candidates of the plan."""
+def _attempts(plans: DataFrame, branch: int, name: str, attempts: int, first: bool | None) -> DataFrame:
+    """Plans with attempts of a branch: plan, key and rank among all candidates of the plan. first: only those of the lowest rank that their plan has, or all others."""
     p = plans.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumnRenamed("key", "plan")
-    return p.withColumn("key", F.concat("plan", F.lit(f":{name}"), F.col("attempt"))).withColumn("rank", F.col("attempt") + branch * attempts).drop("attempt")
+    p = p.withColumn("key", F.concat("plan", F.lit(f":{name}"), F.col("attempt"))).withColumn("rank", F.col("attempt") + branch * attempts).drop("attempt")
+    lowest = F.col("rank") == F.when(F.col("text").isNotNull(), 0).otherwise(attempts)
+    return p if first is None else p.where(lowest if first else ~lowest)
 
 
-def candidates(plans: DataFrame, template_table: DataFrame, pools: Pools, attempts: int = ATTEMPTS, suffix: str = "") -> DataFrame:
+def candidates(plans: DataFrame, template_table: DataFrame, pools: Pools, attempts: int = ATTEMPTS, suffix: str = "", first: bool | None = None) -> DataFrame:
     """plans (of ``allocate``, with text where a real one is assigned) as candidates with clean, said, kept, template_id, format and the source they come from.
 
-    Plans that are made again (with a suffix) get formatting commands in detail: there are too few plain ones for many plans.
+    Plans that are made again (with a suffix) get formatting commands in detail: there are too few plain ones for many plans. first: see ``_attempts``.
     """
     null = F.lit(None).cast("string")
     shaped = lambda d, clean, said, kept, tid, fmt, source: d.select(
@@ -44,16 +47,16 @@ def candidates(plans: DataFrame, template_table: DataFrame, pools: Pools, attemp
         clean.alias("clean"), said.alias("said"), kept.alias("kept"), tid.alias("template_id"), fmt.cast(_FORMAT).alias("format"), F.lit(source).alias("source"),
     )
     none, no_format = F.expr(_NONE), F.lit(None)
-    real = _attempts(plans.where("text is not null"), 0, f"r{suffix}", attempts)
+    real = _attempts(plans.where("text is not null"), 0, f"r{suffix}", attempts, first)
     real = shaped(real, F.col("text"), F.col("text"), none, null, no_format, "real")
-    made = _attempts(plans.where("not longform and (preservation or not formatting)").drop("text"), 1, f"t{suffix}", attempts)
+    made = _attempts(plans.where("not longform and (preservation or not formatting)"), 1, f"t{suffix}", attempts, first).drop("text")
     made = made.withColumn("domain", F.when(F.col("preservation"), "preservation").otherwise(F.when(F.col("source") == "real", T.pick(F.col("key"), "domain", DOMAINS)).otherwise(F.col("domain"))))
     made = templates.fill(templates.choose(made.withColumn("required", none), template_table).withColumn("repeat_same", F.lit(False)), pools)
     made = shaped(made.where("clean is not null"), F.col("clean"), F.col("clean"), F.col("kept"), F.col("template_id"), no_format, "template")
-    long = _attempts(plans.where("longform"), 1, f"l{suffix}", attempts).withColumn("level", F.col("difficulty"))
+    long = _attempts(plans.where("longform"), 1, f"l{suffix}", attempts, first).withColumn("level", F.col("difficulty"))
     long = longform.compose(long.drop("text"), template_table, pools).where("clean is not null")
     long = shaped(long, F.col("clean"), F.col("clean"), none, null, no_format, "template")
-    told = _attempts(plans.where("formatting and not longform and not preservation"), 1, f"f{suffix}", attempts).withColumn("c", T.once(V.command(F.col("key"), detail=bool(suffix))))
+    told = _attempts(plans.where("formatting and not longform and not preservation"), 1, f"f{suffix}", attempts, first).withColumn("c", T.once(V.command(F.col("key"), detail=bool(suffix))))
     told = shaped(told, T.part("c", "output"), T.part("c", "input"), none, null, F.struct(T.part("c", "type").alias("type"), T.part("c", "items").alias("items")), "template")
     return reduce(DataFrame.unionByName, (made, long, told), real)
 
@@ -97,7 +100,7 @@ def unique(rows: DataFrame) -> DataFrame:
 
 def finished(rows: DataFrame) -> DataFrame:
     """Records with ids by bucket and a split of every bucket."""
-    r = ranked(rows, ["bucket"], "plan", "n").withColumn("id", F.concat(F.lit("v4_"), F.col("bucket"), F.lit("_"), F.lpad(F.col("n").cast("string"), 6, "0"))).drop("n")
+    r = ranked(rows, ["bucket"], "plan", "n").withColumn("id", F.concat(F.lit("v4_"), F.col("bucket"), F.lit("_"), padded(F.col("n")))).drop("n")
     return r.join(dedup.stratified_split(r, "bucket", "id").select("id", "split"), "id")
 
 
@@ -134,7 +137,8 @@ def regenerate(made: DataFrame, remake: Callable[[DataFrame, str], DataFrame], r
 def compile_records(plans: DataFrame, template_table: DataFrame, pools: Pools, holdout: DataFrame, attempts: int = ATTEMPTS, rounds: int = 3) -> DataFrame:
     """Records of all plans: none near another of its signature, none in the hold-out (output), none twice. Candidates and records are kept in checkpoints, since each is read more than once."""
     plans = cut(plans)
-    make = lambda p, suffix: records(cut(candidates(p, template_table, pools, attempts, suffix)))
-    made = cut(make(plans, ""))
+    make = lambda p, suffix, first=None: records(cut(candidates(p, template_table, pools, attempts, suffix, first)))
+    soon = cut(make(plans, "", True))  # most plans pass by their first candidate: the others are made for the rest only
+    made = cut(soon.unionByName(make(plans.join(soon.select(F.col("plan").alias("key")), "key", "left_anti"), "", False)))
     made, _ = regenerate(made, lambda late, suffix: make(plans.join(late.select(F.col("plan").alias("key")), "key", "left_semi"), suffix), rounds)
     return finished(cut(unique(dedup.holdout_guard(made, holdout, ["output"]))))

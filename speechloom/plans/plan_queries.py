@@ -100,7 +100,8 @@ def matched(spark: SparkSession, sf_dir: str, said: DataFrame | None = None) ->
     said = utterances(spark, sf_dir) if said is None else said
     texts = said.select(F.col("utt_id").alias("text_id"), "words", F.when(F.col("text").rlike("[0-9]"), 1).otherwise(0).alias("kinds"))
     p = bucket_plans(spark, sf_dir).where("source = 'real'").select("id", "key", "identity", F.array_contains("transforms", "self_correction").alias("needs_value"))
-    return reuse.match(p, texts), texts
+    p = p.withColumnsRenamed({"key": "order", "id": "key"})  # ids are unique, keys are not beyond a million plans
+    return reuse.match(p, texts, order="order").withColumnRenamed("key", "id"), texts
 
 
 _MATCHED = (
@@ -156,7 +157,7 @@ def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every document as a plan: real ones say utterances, others templates and formatting commands. Near duplicates are made again once, then dropped."""
     texts = stored(utterances(spark, sf_dir).select("utt_id", "text", "words"))
     real, _ = matched(spark, sf_dir, texts)
-    plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts.drop("words"), "utt_id", "left").drop("id", "i", "utt_id", "place")
+    plans = bucket_plans(spark, sf_dir).join(real.select("id", F.col("text_id").alias("utt_id")), "id", "left").join(texts.drop("words"), "utt_id", "left").withColumn("key", allocate.plan_key(F.col("i"))).drop("id", "i", "utt_id", "place")
     return generate.compile_records(plans, bank.template_table(spark), Pools(bank.lexicon_table(spark)), holdout(spark, sf_dir), rounds=1)
 
 

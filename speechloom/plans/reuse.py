@@ -27,9 +27,9 @@ def _in_order(slots: DataFrame, where: Column) -> DataFrame:
     return held.join(F.broadcast(before), "use_no").withColumn("rank", F.col("__r") + F.col("__before")).drop("__r", "__before")
 
 
-def match(plans: DataFrame, texts: DataFrame, uses: int = USES, words: int = WORDS, identity_words: int = IDENTITY_WORDS) -> DataFrame:
-    """plans (key, identity, needs_value, other columns; keys unique) with text_id and use_no of texts (text_id, words, kinds; ids unique); null where no slot is left."""
-    key = lambda where, name: ranked(plans.where(where).select("key", F.lit(0).alias("__all")), ["__all"], "key", "rank").select("key", "rank")
+def match(plans: DataFrame, texts: DataFrame, uses: int = USES, words: int = WORDS, identity_words: int = IDENTITY_WORDS, order: str = "key") -> DataFrame:
+    """plans (key, identity, needs_value, other columns; keys unique), ranked by the hash of order, then key, with text_id and use_no of texts (text_id, words, kinds; ids unique); null where no slot is left."""
+    key = lambda where, name: ranked(plans.where(where).select("key", F.col(order).alias("__order"), F.lit(0).alias("__all")), ["__all"], "__order", "rank", ["key"]).select("key", "rank")
     same = key(F.col("identity"), "i").join(ranked(texts.where(F.col("words") <= identity_words).withColumn("__all", F.lit(0)), ["__all"], "text_id", "rank").select("text_id", F.lit(0).alias("use_no"), "rank"), "rank")
     slots = _slots(texts.where(F.col("words") <= words), uses)
     with_value = _in_order(slots, F.col("kinds") > 0).select("__slot", "text_id", "use_no", "rank")

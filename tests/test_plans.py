@@ -263,3 +263,28 @@ def test_utterances_of_the_compile_job_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(generate, "compile_records", lambda plans, *a, **k: plans)
     plans = plan_queries.compiled(spark, "/root/testdata/sf0.001")
     assert plans.where("text is not null").count() > 0 and len(made) == 1  # twice before
+
+
+def test_plans_beyond_a_million_have_keys_of_their_own(spark):
+    i = [5, 123_456, 1_234_560, 1_234_561, 2_000_000]
+    d = spark.createDataFrame([(x,) for x in i], "i long")
+    got = {r["i"]: r for r in allocate.assign(d, allocate.by_bucket(3_000_000)).withColumn("own", allocate.plan_key(F.col("i"))).collect()}
+    assert got[5]["own"] == got[5]["key"] == "plan:42:000005" and got[123_456]["own"] == got[123_456]["key"]
+    assert len({r["own"] for r in got.values()}) == len(i)
+    assert d.select(allocate.padded(F.col("i")).alias("n")).distinct().count() == len(i)
+
+
+def test_plans_that_share_a_hash_take_one_text_each(spark):
+    p = spark.createDataFrame([(k, "plan:42:123456", False, False) for k in range(11)], "key long, order string, identity boolean, needs_value boolean")
+    t = spark.createDataFrame([(f"t{k}", 5, 0) for k in range(4)], "text_id string, words int, kinds int")
+    got = reuse.match(p, t, order="order").collect()
+    assert sorted(r["key"] for r in got) == list(range(11))
+    assert len({(r["text_id"], r["use_no"]) for r in got}) == 11
+
+
+def test_the_first_candidate_of_a_plan_and_the_others(spark):
+    p = spark.createDataFrame([("a", "said"), ("b", None)], "key string, text string")
+    ranks = lambda first: sorted((r["plan"], r["rank"]) for branch, held in ((0, p.where("text is not null")), (1, p)) for r in generate._attempts(held, branch, "x", 2, first).collect())
+    assert ranks(True) == [("a", 0), ("b", 2)]
+    assert ranks(False) == [("a", 1), ("a", 2), ("a", 3), ("b", 3)]
+    assert sorted(ranks(True) + ranks(False)) == ranks(None)

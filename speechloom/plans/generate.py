@@ -1,4 +1,4 @@
-"""Records for plans: every branch and attempt at once, the first that passes the gates is kept.
+"""Records for plans: the first candidate of each, then every other branch and attempt at once for those that it fails; the first that passes the gates is kept.
 
 A plan with a real text first tries to say that text, then a template; others take a template, a long form or a formatting command. Every candidate has a key of its own,
 so its draws are its own. Candidates are gated where they are made, and one aggregation by plan keeps the best; plans without any are gaps.
